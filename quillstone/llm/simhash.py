@@ -30,7 +30,7 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     w = text.lower().split()
     if not w:
         return 0
-    shingles = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
+    shingles = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else iter([b" ".join(w)])
     digest = xxhash.xxh64_digest
     total, n = np.zeros(64, np.int64), 0
     while part := b"".join([digest(s, seed) for s in itertools.islice(shingles, 1 << 16)]):
