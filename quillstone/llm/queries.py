@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, secrets, simhash, suffix_dedup
+from . import ann, binary_codes, langid, lm_scoring, packing, secrets, sentence_pieces, simhash, suffix_dedup, warc
 from .common import hold, table
 
 
@@ -39,10 +39,34 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(docs, *byte_ranks()))
 
 
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = hold(docs, "doc_id", 5) == 1
+    return lm_scoring.score_documents(docs.withColumn("held_out", held_out), docs.filter(~held_out))
+
+
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), f.read())
+
+
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_spec())
 
 
+def op8_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_codes.near_links(table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut_texts(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -52,7 +76,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op7_best_fit_packing, op9_suffix_dedup, op10_simhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_secret_scan, op3_warc_segments, op4_lm_scoring, op5_sentence_pieces,
+        op6_permutation_index, op7_best_fit_packing, op8_binary_codes, op9_suffix_dedup, op10_simhash_near_dedup,
+    )
+}
 
 #: None of these can be said in DuckDB's SQL: see the tests against brute force.
 ORACLE_SQL: dict[str, str] = {}
