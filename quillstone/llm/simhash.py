@@ -21,6 +21,8 @@ from .links import BLOCK_ROWS, components, in_blocks, over_blocks, roots, shifts
 RADIUS = 3
 #: Fingerprints (those of the smallest hashes) on which thresholds are estimated; they decide cost only, not results.
 ESTIMATE_ROWS = 4096
+#: What a probe costs, which is written, shuffled and sorted, in comparisons of two fingerprints in memory.
+PROBE_COST = 256
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -139,7 +141,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, partitions: int
             far += [(d <= t).sum() for t in range(radius + 1)]
         scale = (n / len(sample)) ** 2 if len(sample) else 1
         variants = np.cumsum([len(list(itertools.combinations(range(len(bits)), t))) for t in range(radius + 1)])
-        cost[k] = (far - len(value)) * scale + variants * n
+        cost[k] = (far - len(value)) * scale / 2 + PROBE_COST * variants * n
     ts = thresholds(cost, radius)
     plan = [(k, bits, np.array(list(within(len(bits), t)), np.int64)) for k, (bits, t) in enumerate(zip(split, ts, strict=True)) if t >= 0]
 
