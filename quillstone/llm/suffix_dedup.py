@@ -193,9 +193,11 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
     long_enough = docs.filter(F.octet_length("text") >= length)
     names = f"anchor long, content_hash long, doc {kind}, text_hash long, start long, strings int, place long"
     recs = cut(arrow_map(long_enough.select("doc", "text", "text_hash"), make, names))
+    # most anchors have one record, and their strings cannot repeat
+    busy = cut(recs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
+    recs = cut(recs.join(busy, "anchor", "left_semi"))
     first = F.min(F.struct("doc", "text_hash", "start", "strings", "place")).alias("at")
-    held = recs.groupBy("anchor", "content_hash").agg(F.count("*").alias("copies"), first)
-    held = cut(held)
+    held = cut(recs.groupBy("anchor", "content_hash").agg(F.count("*").alias("copies"), first))
     copied = cut(held.filter("copies > 1").select("anchor", "content_hash"))
     kinds = cut(held.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     whole = recs.join(copied, ["anchor", "content_hash"], "left_semi").select("doc", "text_hash", F.col("start").alias("first"), (F.col("start") + F.col("strings") - 1).alias("last"))
