@@ -22,7 +22,7 @@ ORDER = 4
 SAMPLE_DOCS = 2048
 SAMPLE_CHARS = 8192
 #: Standard deviations over the mean cross-entropy of a language's calibration documents from which a text is rejected.
-REJECT_Z = 8.0
+REJECT_Z = 10.0
 #: Characters that count in the score at most; more would drive every score to 1.
 SCORE_CHARS = 32
 _A = np.uint64(0x9E3779B97F4A7C15)

@@ -220,6 +220,8 @@ def score_documents(docs: DataFrame, training: DataFrame, vocabulary: int = VOCA
     Null is the empty text, whose only token is its end. ``training`` has the texts to learn from (null: empty); without
     any, every token has probability 1. Equal texts score alike.
     """
+    docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    names = [n for n in docs.columns if n != "text"]
     counts = cut(word_counts(training))
     sums = counts.agg(F.sum("n"), F.count("*")).first()
     texts_n = training.count()
@@ -236,7 +238,6 @@ def score_documents(docs: DataFrame, training: DataFrame, vocabulary: int = VOCA
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((model, [w for w, _ in known], np.array([n for _, n in known], np.float64), len(frequent)))
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.drop("text").dtypes)
-    names = [n for n in docs.columns if n != "text"]
 
     def make():
         from pyspark import TaskContext
@@ -249,7 +250,7 @@ def score_documents(docs: DataFrame, training: DataFrame, vocabulary: int = VOCA
 
         def step(b):
             nonlocal nth
-            out = {c: [] for c in ("row_id", "tokens", "known", "head", "model", "rare", "word", "times")}
+            out = {c: [] for c in (f"_lm_{c}" for c in ("row", "tokens", "known", "head", "model", "rare", "word", "times"))}
             for t in texts(b.column("text")):
                 w = tokens(t)
                 at = np.fromiter((place.get(x, -1) for x in w), np.int64, len(w))
@@ -265,17 +266,17 @@ def score_documents(docs: DataFrame, training: DataFrame, vocabulary: int = VOCA
 
         return step
 
-    found = cut(arrow_map(docs, make, f"{schema}, row_id long, tokens long, known long, head double, model double, rare long, word array<binary>, times array<long>"))
-    rare = found.filter("rare > 0").select("row_id", F.arrays_zip("word", "times").alias("w")).select("row_id", F.explode("w").alias("w")).select("row_id", "w.word", "w.times")
-    # every word that is not broadcast has a count under or at the least of those, or is long
+    found = cut(arrow_map(docs, make, f"{schema}{', ' * bool(schema)}_lm_row long, _lm_tokens long, _lm_known long, _lm_head double, _lm_model double, _lm_rare long, _lm_word array<binary>, _lm_times array<long>"))
+    zipped = F.arrays_zip(F.col("_lm_word").alias("word"), F.col("_lm_times").alias("times"))
+    rare = found.filter("_lm_rare > 0").select("_lm_row", F.explode(zipped).alias("w")).select("_lm_row", "w.word", "w.times")
+    # every word that is not broadcast has a count under the least of those, or is long
     tail = counts.filter((F.octet_length("word") > HEAD_BYTES) | (F.col("n") < least)) if least is not None else counts
-    met = rare.join(tail, "word", "left")
     c = F.coalesce("n", F.lit(0))
-    added = met.groupBy("row_id").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    added = cut(added)
+    met = rare.join(tail, "word", "left").groupBy("_lm_row")
+    added = cut(met.agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("_lm_more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("_lm_more_known")))
     end = float(np.log10(texts_n + 0.5))
-    more = F.coalesce("more", F.lit(0.0))
-    return found.drop("word", "times").join(added, "row_id", "left").select(
-        *names, F.col("tokens").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(texts_n > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head") + more + F.lit(end) - F.col("tokens") * F.lit(float(base))).alias("base_score"), (F.col("model") + more).alias("score"),
+    more = F.coalesce("_lm_more", F.lit(0.0))
+    return found.join(added, "_lm_row", "left").select(
+        *names, F.col("_lm_tokens").alias("n_tokens"), (F.col("_lm_known") + F.coalesce("_lm_more_known", F.lit(0)) + F.lit(int(texts_n > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("_lm_head") + more + F.lit(end) - F.col("_lm_tokens") * F.lit(float(base))).alias("base_score"), (F.col("_lm_model") + more).alias("score"),
     )
