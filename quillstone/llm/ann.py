@@ -22,8 +22,8 @@ PIVOTS = 256
 #: Nearest pivots that represent a vector.
 PREFIX = 96
 #: Share of a block that is reranked, and the least number.
-RERANK = 0.03
-RERANK_LEAST = 64
+RERANK = 0.05
+RERANK_LEAST = 256
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
 
