@@ -364,15 +364,16 @@ def negative_context(spark, table):
     return both.select("doc_id", big("word_no").alias("word_no"), "suppressed")
 
 
-_CODES_SQL = ", ".join(f"('{c}')" for c in sorted(dims.CURRENCY_DIGITS))
+_SHOWN = ["€", "eur", "EUR", "usd", "$", "total", "XXX"]
 
 
 @query(f"""
-with w as (select conv_id as doc_id, unnest(string_split_regex(text, '\\s+')) as word from conversations),
-e as (select distinct doc_id, case word when '€' then 'EUR' when '$' then 'USD' when '£' then 'GBP' when '¥' then 'JPY' else upper(word) end as c from w where upper(word) in (select * from (values {_CODES_SQL})) or word in ('€', '$', '£', '¥'))
+with w as (select o_custkey as doc_id, ({_SHOWN})[cast(case when o_custkey % 2 = 0 then o_orderkey % 3 else o_orderkey % 7 end as int) + 1] as word from orders),
+e as (select distinct doc_id, case word when '€' then 'EUR' when '$' then 'USD' else upper(word) end as c from w where word not in ('total', 'XXX'))
 select doc_id, case when count(*) = 1 then min(c) end as currency, count(*) as n_codes from e group by 1""")
 def currency_evidence(spark, table):
-    words = table("conversations").select(F.col("conv_id").alias("doc_id"), F.explode(F.split("text", r"\s+")).alias("text"))
+    word = F.element_at(F.array(*map(F.lit, _SHOWN)), (F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderkey") % 3).otherwise(F.col("o_orderkey") % 7) + 1).cast("int"))
+    words = table("orders").select(F.col("o_custkey").alias("doc_id"), word.alias("text"))
     return evidence.resolve_currency(evidence.currency_evidence(words, dims.currencies(spark)))
 
 
