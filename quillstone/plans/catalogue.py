@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import amounts, dates, dims, identifiers, text
 from quillstone.operators import consensus as votes
-from quillstone.operators import binding, confidence, evaluation, evidence, layout, negative, photo, records, solver, terms
+from quillstone.operators import binding, confidence, evaluation, evidence, heuristics, layout, negative, photo, records, solver, terms
+from quillstone.plans import extract
 from quillstone.streaming import history
 
 QUERIES: dict = {}
@@ -517,6 +518,94 @@ def supplier_normalise(spark, table):
     return table("supplier").select("s_suppkey", text.supplier_normalised(raw).alias("supplier"), text.folded(raw).alias("folded"))
 
 
+#: Line numbers repeat within an order; this tells its lines apart.
+_ORDER = "l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + cast(l_quantity as bigint)"
+_LABEL, _AMOUNT = "l_linenumber % 2 = 1", "case when l_quantity > 30 then cast(l_quantity as bigint) end"
+
+
+@query(f"""
+with x as (select l_orderkey, {_ORDER} as line, {_LABEL} as label, {_AMOUNT} as amount, row_number() over (partition by l_orderkey order by {_ORDER}) as n from lineitem),
+y as (select a.l_orderkey, a.line, a.n, a.amount, min(b.n) filter (b.amount is not null) as near, min(b.n) filter (b.label) as barrier from x a left join x b on a.l_orderkey = b.l_orderkey and b.n between a.n + 1 and a.n + 3 where a.label group by 1, 2, 3, 4)
+select y.l_orderkey, y.line, coalesce(y.amount, case when barrier is null or near < barrier then x.amount end) as value from y left join x on x.l_orderkey = y.l_orderkey and x.n = y.near""")
+def lookahead(spark, table):
+    rows = table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.expr(_ORDER).alias("line"))
+    return heuristics.lookahead(rows, "l_orderkey", "line", F.expr(_LABEL), F.expr(_AMOUNT)).select("l_orderkey", "line", "value")
+
+
+@query(f"""
+with v as (select l_orderkey, l_returnflag as flag, count(*) as votes, min({_ORDER}) as f from lineitem group by 1, 2)
+select l_orderkey, flag, votes from v qualify row_number() over (partition by l_orderkey order by votes desc, f) = 1""")
+def majority_vote(spark, table):
+    return heuristics.majority(table("lineitem").select("l_orderkey", F.col("l_returnflag").alias("flag"), F.expr(_ORDER).alias("line")), ["l_orderkey"], "flag", "line")
+
+
+@query(f"""
+with a as (select l_orderkey, {_MINOR.format('l_extendedprice')} * (case when l_partkey % 7 = 0 then 1000 else 1 end) as m from lineitem), d as (select l_orderkey, quantile_disc(m, 0.5) as median from a group by 1)
+select l_orderkey, cast(median as bigint) as median, cast(max(m) as bigint) as largest from a join d using (l_orderkey) where m <= 50 * median group by 1, 2""")
+def outlier_cut(spark, table):
+    rows = table("lineitem").select("l_orderkey", (minor("l_extendedprice") * F.expr("if(l_partkey % 7 = 0, 1000, 1)")).alias("m"))
+    return heuristics.without_outliers(rows, "l_orderkey", "m").select("l_orderkey", big("median").alias("median"), big("largest").alias("largest"))
+
+
+@query("""
+with n as (select conv_id, turn, len(regexp_extract_all(text, '\\p{L}{3,}')) as words from conversations where text is not null)
+select conv_id, cast(turn as bigint) as turn, cast(words as bigint) as words from n qualify row_number() over (partition by conv_id order by words desc, turn) = 1""")
+def best_pass(spark, table):
+    found = heuristics.best_pass(table("conversations").filter("text is not null"), "conv_id", "turn", "text")
+    return found.select("conv_id", big("turn").alias("turn"), big("words").alias("words"))
+
+
+_STATUS = "case when l_partkey % 5 = 0 then 201 when l_partkey % 5 = 1 then 404 when l_partkey % 5 = 2 then 429 else 503 end"
+
+
+@query(f"""
+with a as (select l_orderkey, {_STATUS} as s, row_number() over (partition by l_orderkey order by {_ORDER}) as n from lineitem),
+e as (select l_orderkey, coalesce(min(n) filter (not (s = 429 or s >= 500) or n = 4), max(n)) as n from a group by 1)
+select l_orderkey, case when s between 200 and 299 then 'sent' when (s = 429 or s >= 500) and a.n < 4 then 'queued' else 'failed' end as outcome, cast(a.n as bigint) as attempts,
+  cast(case when (s = 429 or s >= 500) and a.n < 4 then power(2, a.n) - 1 else power(2, a.n - 1) - 1 end as bigint) as waited from a join e using (l_orderkey, n)""")
+def scripted_send(spark, table):
+    found = heuristics.scripted_send(table("lineitem").select("l_orderkey", F.expr(_ORDER).alias("line"), F.expr(_STATUS).alias("s")), "l_orderkey", "line", "s")
+    return found.select("l_orderkey", "outcome", big("attempts").alias("attempts"), big("waited").alias("waited"))
+
+
+@query("""
+select o_custkey, count(*) filter (o_orderkey % 3 = 0) as done, count(*) filter (o_orderkey % 3 <> 0) as open, count(*) filter (o_orderkey % 3 <> 0 and d > 0) as late,
+  coalesce(max(case when o_orderkey % 3 <> 0 and d > 0 then d end), 0) as most_days_late from (select *, datediff('day', cast(o_orderdate as date), date '1996-01-01') as d from orders) group by 1""")
+def board(spark, table):
+    late = F.datediff(F.lit("1996-01-01").cast("date"), F.to_date("o_orderdate")).cast("bigint")
+    return heuristics.board(table("orders"), "o_custkey", F.expr("o_orderkey % 3 = 0"), late)
+
+
+@query("""
+select doc_id, text as repaired from documents where lang <> 'en' and text is not null""")
+def repaired_text(spark, table):
+    docs = table("documents").filter("lang <> 'en' and text is not null")
+    return docs.select("doc_id", heuristics.repaired_text(heuristics.misread_text(F.col("text"))).alias("repaired"))
+
+
+def order_pages(table) -> DataFrame:
+    """A page of words for each order: base, tax (but for every seventh) and total, and for every fifth a tip that is no total."""
+    m = minor("o_totalprice")
+    eur = lambda c: F.concat(F.expr(f"cast({c} div 100 as string)"), F.lit(","), F.lpad(F.expr(f"cast({c} % 100 as string)"), 2, "0"))
+    rows = table("orders").select(F.col("o_orderkey").alias("doc_id"), m.alias("b")).withColumn("t", F.expr("(b * 21 + 50) div 100")).withColumn("g", F.expr("b + t"))
+    lines = F.array(
+        F.concat(F.lit("BASE "), eur("b")), F.when(F.expr("doc_id % 7 > 0"), F.concat(F.lit("IVA 21 % "), eur("t"))), F.concat(F.lit("TOTAL "), eur("g")),
+        F.when(F.expr("doc_id % 5 = 0"), F.lit("TOTAL propina 9,99")),
+    )
+    line = rows.select("doc_id", F.posexplode(lines).alias("k", "line")).filter("line is not null")
+    word = line.select("doc_id", "k", F.posexplode(F.split("line", " ")).alias("n", "text"))
+    at = lambda c: F.expr(c).cast("int")
+    return word.select("doc_id", F.lit("p").alias("pass_id"), F.lit(0).alias("page_index"), at("k * 10 + n").alias("word_no"), "text", at("n * 90000").alias("x0"), at("n * 90000 + 80000").alias("x1"), at("k * 60000").alias("top"), at("k * 60000 + 10000").alias("bottom"))
+
+
+@query(f"""
+select o_orderkey as doc_id, case when o_orderkey % 7 > 0 then 'read' else 'derived' end as outcome, m + (m * 21 + 50) // 100 as gross, m as net, (m * 21 + 50) // 100 as tax, o_orderkey % 7 = 0 as needs_review
+from (select o_orderkey, {_MINOR.format('o_totalprice')} as m from orders)""")
+def text_route(spark, table):
+    found = extract.extract(order_pages(table), dims.terms(spark))
+    return found.select("doc_id", "outcome", "gross", "net", "tax", "needs_review")
+
+
 @query()
 def photo_read(spark, table):
     """Receipts printed from orders, read by labels and by arithmetic; see the tests for a plain equivalent."""
