@@ -72,7 +72,6 @@ def near_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
 
         def step(b):
             v = b.column("v").to_pylist()
-            out = {c: [] for c in ("band", "bucket", "keys", "row")}
             by_dim: dict[int, list[int]] = {}
             for k, x in enumerate(v):
                 by_dim.setdefault(len(x), []).append(k)
