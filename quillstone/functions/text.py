@@ -55,7 +55,3 @@ def country_of_locale(x: Column) -> Column:
     """Upper-case two-letter region of a locale such as es_ES, else null."""
     region = F.upper(F.try_element_at(F.split(x, "[_-]"), F.lit(2)))
     return F.when(region.rlike("^[A-Z]{2}$"), region)
-
-
-def document_number_like(x: Column) -> Column:
-    return x.rlike(r"[0-9]")

@@ -60,7 +60,7 @@ def read_operands(words: DataFrame, term_rows: DataFrame, country: str = "ES", r
     found = terms.find_terms(lines, term_rows, [*PAGE, "line_no"])
     boxes = matched_boxes(each, found)
     figures = amount_words(each, F.lit(row["decimal"]), F.lit(dims.CURRENCY_DIGITS[row["currency"]]))
-    labels = boxes.filter(F.col("kind").isin(*_ROLE)).withColumn("label_id", F.col("label_id"))
+    labels = boxes.filter(F.col("kind").isin(*_ROLE))
     named = figures.withColumn("value", F.struct("value", "x0", "x1", "top", "bottom", F.col("line_no").alias("at_line")))
     bound = binding.bind_labels(labels, named, PAGE, "label_id")
     role = F.create_map(*[F.lit(x) for kv in _ROLE.items() for x in kv])[F.split_part("label_id", F.lit("|"), F.lit(1))]
