@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillstone.llm import langid, packing, secrets, simhash, suffix_dedup
 from quillstone.llm.common import shared_dir, table
@@ -23,11 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id. Of rows that repeat a kept doc_id, one."""
-    groups = simhash.near_duplicates(docs).filter("doc_id = component_id or (doc_id is null and component_id is null)")
-    kept = groups.select(F.col("doc_id").alias("kept_id")).distinct()
-    joined = docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return joined.select(*docs.columns)
+    """One document of each group of near-duplicates: that with the smallest doc_id. Rows count, not ids; see one_of_each."""
+    return simhash.one_of_each(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

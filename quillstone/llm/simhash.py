@@ -42,22 +42,23 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (long, the fingerprint's bits) of every row.
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``also`` and fp (long, the fingerprint's bits) of every row.
 
     A-Z are lower-cased, words are runs without ASCII white space, shingles of ``words`` words are joined by a space and
     hashed by XXH64. With fewer words the whole sequence is the shingle; without words (null, empty) the fingerprint is 0.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *also]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def make():
         def step(b):
-            found = np.array([fingerprint(t, words, seed) for t in texts(b.column(1))], np.uint64)
-            return {"doc_id": b.column(0), "fp": found.view(np.int64)}
+            found = np.array([fingerprint(t, words, seed) for t in texts(b.column(len(names)))], np.uint64)
+            return {c: b.column(k) for k, c in enumerate(names)} | {"fp": found.view(np.int64)}
 
         return step
 
-    return arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, fp long")
+    return arrow_map(docs.select(*names, "text"), make, f"{kinds}, fp long")
 
 
 def bit_partitions(together: np.ndarray, n: int, parts: int) -> list[list[int]]:
@@ -190,10 +191,31 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, seed:
     other. Rows whose doc_id repeats are told apart by their text only; null ids are never the smallest unless all are null.
     """
     fps = cut(fingerprints(docs, words, seed))
-    first = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    comp = components(link_fingerprints(first, radius, partitions))
-    named = first.join(comp, first["fp"] == comp["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    named = cut(named)
+    named = linked(fps, radius, partitions)
     lowest = cut(named.groupBy("component").agg(F.min("first_id").alias("component_id")))
     names = cut(named.join(lowest, "component").select("fp", "component_id"))
     return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+
+
+def linked(fps: DataFrame, radius: int = RADIUS, partitions: int | None = None) -> DataFrame:
+    """fp, first_id (its smallest doc_id) and component (the smallest fingerprint reachable by links) of each distinct fp."""
+    first = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    comp = components(link_fingerprints(first, radius, partitions))
+    named = first.join(comp, first["fp"] == comp["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    return cut(named)
+
+
+def one_of_each(docs: DataFrame, words: int = 3, radius: int = RADIUS, seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """One row of each component of ``docs``: that with the smallest doc_id, nulls last, then the smallest hash of the row.
+
+    Rows are told apart by all their columns, so rows that share a doc_id, or have none, stay if their texts differ.
+    Rows equal in every column are one.
+    """
+    keyed = docs.withColumn("_row", F.md5(F.to_json(F.struct(*docs.columns))))
+    fps = cut(fingerprints(keyed, words, seed, ("_row",)))
+    ranked = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    # a minimum for each fingerprint before the join, so that many copies are one row there
+    least = fps.groupBy("fp").agg(F.min(ranked).alias("least"))
+    kept = least.join(linked(fps, radius, partitions).select("fp", "component"), "fp").groupBy("component").agg(F.min("least").alias("least"))
+    kept = cut(kept.select("least._row"))
+    return keyed.dropDuplicates(["_row"]).join(kept, "_row", "left_semi").select(*docs.columns)

@@ -58,3 +58,15 @@ def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).collect() == []
+
+
+def test_near_dedup_keeps_rows_not_ids(spark):
+    r = random.Random(8)
+    prose = lambda: " ".join("".join(r.choice(SYLLABLES["xx"]) for _ in range(r.randint(1, 4))) for _ in range(90))
+    a, b, c, d, e, f = (prose() for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (1, e), (2, e), (2, f), (None, f), (9, a)]
+    docs = spark.createDataFrame([(k, t, "xx", "s", len(t)) for k, t in rows], SCHEMA)
+    want = sorted([(9, a), (None, b), (5, c), (5, d), (1, e), (2, f)], key=repr)
+    for n in (1, 3):
+        got = corpus_pipeline.near_dedup(spark, docs.repartition(n), "").select("doc_id", "text").collect()
+        assert sorted(map(tuple, got), key=repr) == want
