@@ -2,7 +2,7 @@
 
 Text of any language is cut into few long tokens by a large vocabulary; keys and random strings fall apart into short
 ones. A run of key characters whose characters per token stay under ``RATIO`` is a secret, unless it is a known digest
-or identifier.
+or identifier. Words joined by separators are judged by their letters alone, so that the separators don't weigh.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ _HEX = re.compile("[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=~-]{20,}")
 #: Hex digests of 128 to 512 bits, UUIDs, and numbers with separators.
 _KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=~-]+)")
-#: A run that ordinary writing makes: words of letters alone, joined by separators.
+#: Least length of a run, of letters judged together, and of what is left of a run beside other spans.
+LEAST, LEAST_WORD, LEAST_REST = 20, 4, 6
+#: A run of letters alone, joined by separators, as ordinary writing makes.
 _WORDS = re.compile(r"[+/_=~-]*(?:[A-Za-z]+[+/_=~-]+)*[A-Za-z]*")
 
 
@@ -41,18 +43,40 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def random_spans(text: str, tokens, taken: list[tuple[str, int, int]], ratio: float = RATIO) -> list[tuple[str, int, int]]:
-    """Runs outside the taken spans that fail the token-efficiency test. tokens: text -> number of tokens."""
+    """Runs that fail the token-efficiency test, and what lies beside the taken spans of a run and fails it.
+
+    tokens: text -> number of tokens.
+    """
     out = []
     for m in _RUN.finditer(text):
-        run = m.group()
-        if _WORDS.fullmatch(run) or _KNOWN.fullmatch(run) or any(s < m.end() and m.start() < e for _, s, e in taken):
-            continue
-        n = sum(tokens(run[k : k + PIECE]) for k in range(0, len(run), PIECE))
-        if len(run) < ratio * n:
-            out.append(("random", *m.span()))
+        at, left = m.start(), []
+        for s, e in sorted((s, e) for _, s, e in taken if s < m.end() and m.start() < e):
+            left.append((at, s))
+            at = max(at, e)
+        whole = not left
+        for s, e in [*left, (at, m.end())]:
+            if e - s >= (LEAST if whole else LEAST_REST):
+                out += [("random", s + i, s + j) for i, j in random_parts(text[s:e], tokens, ratio, LEAST if whole else LEAST_REST)]
     return out
 
 
+def random_parts(run: str, tokens, ratio: float, least: int) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run of key characters: all of it, or single words of letters in it."""
+
+    def random(words: list[str]) -> bool:
+        n = sum(tokens(w[k : k + PIECE]) for w in words for k in range(0, len(w), PIECE))
+        return sum(map(len, words)) < ratio * n
+
+    if _KNOWN.fullmatch(run):
+        return []
+    if not _WORDS.fullmatch(run):
+        return [(0, len(run))] if random([run]) else []
+    words = [w for w in re.finditer("[A-Za-z]+", run) if len(w.group()) >= LEAST_WORD]
+    found = [w.span() for w in words if len(w.group()) >= least and random([w.group()])]
+    rest = [w.group() for w in words if w.span() not in found]
+    return [(0, len(run))] if sum(map(len, rest)) >= least and random(rest) else found
+
+
 def find_secrets(docs: DataFrame, ranks: bytes, pattern: str, ratio: float = RATIO) -> DataFrame:
     """All columns of ``docs`` and ``secrets``: array<struct<kind, start, end>> of the whole text, by start and then kind.
 
