@@ -228,6 +228,24 @@ union all select l_orderkey, 'tax', floor({_MINOR.format('l_extendedprice')} * 2
 union all select l_orderkey, 'gross', {_MINOR.format('l_extendedprice')} + floor({_MINOR.format('l_extendedprice')} * 21 / 100) from lineitem where l_orderkey % 3 > 0 and l_linenumber <= l_orderkey % 4 and l_linenumber <= 3"""
 
 
+#: The operands of all lines: a base for each, a fifth of it as tax for the first or all, and their sum as gross for some.
+_ALL_OPERANDS = f"""
+select l_orderkey as doc_id, 'base' as role, {_MINOR.format('l_extendedprice')} as minor from lineitem
+union all select l_orderkey, 'tax', floor({_MINOR.format('l_extendedprice')} * 21 / 100) from lineitem where l_linenumber = 1 or l_orderkey % 5 = 0
+union all select l_orderkey, 'gross', {_MINOR.format('l_extendedprice')} + floor({_MINOR.format('l_extendedprice')} * 21 / 100) from lineitem where l_orderkey % 3 > 0 and l_linenumber <= l_orderkey % 8"""
+
+
+def all_operands(table) -> DataFrame:
+    line = table("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), minor("l_extendedprice").alias("m"))
+    tax = F.floor(F.col("m") * 21 / 100).cast("bigint")
+    made = F.array(
+        F.struct(F.lit("base").alias("role"), F.col("m").alias("minor")),
+        F.struct(F.when(F.expr("n = 1 or doc_id % 5 = 0"), "tax").alias("role"), tax.alias("minor")),
+        F.struct(F.when(F.expr("doc_id % 3 > 0 and n <= doc_id % 8"), "gross").alias("role"), (F.col("m") + tax).alias("minor")),
+    )
+    return line.select("doc_id", F.explode(made).alias("x")).select("doc_id", "x.*").filter("role is not null")
+
+
 def order_operands(spark, table) -> DataFrame:
     line = table("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), minor("l_extendedprice").alias("m")).filter("n <= 3")
     tax = F.floor(F.col("m") * 21 / 100).cast("bigint")
@@ -620,3 +638,44 @@ def photo_read(spark, table):
 def history_stream(spark, table):
     """The last state of each user's document, from events read as a stream; equals state_replay where events arrive in order."""
     return history.replay_stream(spark, f"{table.dir}/events.parquet", table("events").schema, _STATES)
+
+
+# The queries above that read a part of their tables, on all rows.
+
+
+@query(ORACLE_SQL["amount_triples"].replace(_OPERANDS, _ALL_OPERANDS))
+def amount_triples_whole(spark, table):
+    return solver.triples(all_operands(table))
+
+
+@query(ORACLE_SQL["breakdown_solve"].replace(_OPERANDS, _ALL_OPERANDS))
+def breakdown_solve_whole(spark, table):
+    return solver.solve(all_operands(table), dims.legal_rates(spark).filter("country = 'ES'"))
+
+
+@query(ORACLE_SQL["tax_slots"].replace(_OPERANDS, _ALL_OPERANDS))
+def tax_slots_whole(spark, table):
+    operands = all_operands(table)
+    rates = operands.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, (2100, 1000, 400)))).alias("rate_bp"))
+    return solver.tax_slots(operands, rates).withColumn("rate_bp", big("rate_bp"))
+
+
+@query(ORACLE_SQL["negative_context"].replace(" and doc_id % 3 = 0", ""))
+def negative_context_whole(spark, table):
+    words = order_words(table)
+    kept, gone = negative.split_by_context(words.filter("word_no % 2 = 1"), words.filter("word_no % 2 = 0"), ["doc_id"], radius=4000)
+    both = kept.withColumn("suppressed", F.lit(False)).unionByName(gone.withColumn("suppressed", F.lit(True)))
+    return both.select("doc_id", big("word_no").alias("word_no"), "suppressed")
+
+
+@query(ORACLE_SQL["pass_agreement"].replace(" where turn < 3", ""))
+def pass_agreement_whole(spark, table):
+    words = table("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pass_id"), F.explode(F.split("text", r"\s+")).alias("text"))
+    found = evaluation.pass_agreement(words)
+    return found.select(F.col("doc_id").alias("conv_id"), big("pass_1").alias("pass_1"), big("pass_2").alias("pass_2"), big("shared").alias("shared"), big("larger").alias("larger"))
+
+
+@query("""
+select doc_id, text as repaired from documents""")
+def repaired_text_whole(spark, table):
+    return table("documents").select("doc_id", heuristics.repaired_text(heuristics.misread_text(F.col("text"))).alias("repaired"))
