@@ -28,6 +28,18 @@ def majority(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFr
     return votes.groupBy(*keys).agg(top.alias("t")).select(*keys, "t.*")
 
 
+def plurality(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """keys, value, votes, of (all votes), unanimous and runners_up: the most frequent value of a group and the next two
+    with their votes, the first seen of equals before the others."""
+    votes = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("votes"), F.min(order).alias("_first"))
+    w = Window.partitionBy(*keys)
+    ranked = votes.withColumn("of", F.sum("votes").over(w)).withColumn("_n", F.row_number().over(w.orderBy(F.desc("votes"), "_first", value))).filter("_n <= 3")
+    top = ranked.groupBy(*keys).agg(F.first("of").alias("of"), F.sort_array(F.collect_list(F.struct("_n", value, "votes"))).alias("_top"))
+    bare = F.transform(F.slice("_top", 2, 2), lambda x: F.struct(x[value].alias(value), x["votes"].alias("votes")))
+    first = F.col("_top")[0]
+    return top.select(*keys, first[value].alias(value), first["votes"].alias("votes"), "of", (first["votes"] == F.col("of")).alias("unanimous"), bare.alias("runners_up"))
+
+
 def without_outliers(amounts: DataFrame, key: str, value: str, times: float = 50.0) -> DataFrame:
     """key, median, largest: the largest amount of at most ``times`` the lower median of the group's amounts.
 

@@ -60,18 +60,23 @@ def duplicates(entries: DataFrame, key: str, content: list[str], sent: Column, n
     return out.select(key, F.coalesce("_hash", "_content").alias("original"), F.when(F.col("_hash").isNotNull(), "hash").when(F.col("_content").isNotNull(), "content").alias("criterion"))
 
 
-def reconcile(sends: DataFrame, records: DataFrame, user: str, sent_at: str, created_at: str, seconds: int = 120) -> DataFrame:
+def reconcile(sends: DataFrame, records: DataFrame, user: str, sent_at: str, created_at: str, seconds: int = 120, fields: str | None = None) -> DataFrame:
     """Sends with candidates (records of the same user created in the window before) and decision: 0 create, 1 adopt, more ask.
 
     Time is cut into windows as long as the interval; a send meets its own window and the one before by equality, and
-    the exact interval is the residual.
+    the exact interval is the residual. With ``fields``, a map in both, only records that hold every sent field with an equal
+    value are candidates; where fewer than two fields were sent that is too little to adopt, and records in time are asked about.
     """
     bucket = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(seconds * 1_000_000))
-    r = records.select(F.col(user).alias("_u"), F.col(created_at).alias("_at"), bucket(F.col(created_at)).alias("_w"))
+    r = records.select(F.col(user).alias("_u"), F.col(created_at).alias("_at"), bucket(F.col(created_at)).alias("_w"), *([F.col(fields).alias("_f")] if fields else []))
     s = sends.withColumn("_w", F.explode(F.array(bucket(F.col(sent_at)), bucket(F.col(sent_at)) - 1)))
     inside = (F.col("_at") <= F.col(sent_at)) & (F.col("_at") >= F.col(sent_at) - F.expr(f"interval {seconds} seconds"))
+    few = F.lit(False)
+    if fields:
+        few = F.coalesce(F.size(fields), F.lit(0)) < 2
+        inside &= few | F.coalesce(F.forall(F.map_entries(fields), lambda e: F.map_contains_key("_f", e["key"]) & F.col("_f")[e["key"]].eqNullSafe(e["value"])), F.lit(False))
     met = s.join(r, (F.col(user) == F.col("_u")) & (s["_w"] == r["_w"]) & inside, "left").groupBy(*sends.columns).agg(F.count("_at").alias("candidates"))
-    return met.withColumn("decision", F.when(F.col("candidates") == 0, "create").when(F.col("candidates") == 1, "adopt").otherwise("ask"))
+    return met.withColumn("decision", F.when(F.col("candidates") == 0, "create").when((F.col("candidates") == 1) & ~few, "adopt").otherwise("ask"))
 
 
 def queue_prefix(queue: DataFrame, destination: str, order: list[str], stops: Column) -> DataFrame:

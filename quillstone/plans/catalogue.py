@@ -679,3 +679,25 @@ def pass_agreement_whole(spark, table):
 select doc_id, text as repaired from documents""")
 def repaired_text_whole(spark, table):
     return table("documents").select("doc_id", heuristics.repaired_text(heuristics.misread_text(F.col("text"))).alias("repaired"))
+
+
+@query("""
+with e as (select *, event_id % 2 as half, cast(day(ts) as bigint) as d from events), s as (select * from e where event_type = 'purchase'), r as (select * from e where event_type = 'signup')
+select s.event_id, s.user_id, count(r.ts) as candidates, case count(r.ts) when 0 then 'create' when 1 then 'adopt' else 'ask' end as decision
+from s left join r on r.user_id = s.user_id and r.ts <= s.ts and r.ts >= s.ts - interval 2 hours and r.half = s.half and r.d = s.d group by 1, 2""")
+def reconcile_fields(spark, table):
+    """reconcile_interval with every sent field equal as well."""
+    e = table("events").withColumn("fields", F.create_map(F.lit("half"), F.col("event_id") % 2, F.lit("day"), F.dayofmonth("ts").cast("bigint")))
+    sent, made = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", "fields"), e.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("made"), "fields")
+    return records.reconcile(sent, made, "user_id", "ts", "made", 7200, "fields").select("event_id", "user_id", "candidates", "decision")
+
+
+@query(f"""
+with v as (select l_orderkey, l_returnflag as flag, count(*) as votes, min({_ORDER}) as f from lineitem group by 1, 2),
+n as (select *, row_number() over (partition by l_orderkey order by votes desc, f) as n, sum(votes) over (partition by l_orderkey) as total from v)
+select l_orderkey, max(flag) filter (n = 1) as flag, max(votes) filter (n = 1) as votes, cast(max(total) as bigint) as "of", max(votes) = max(total) as unanimous,
+  max(flag) filter (n = 2) as second, max(votes) filter (n = 2) as second_votes, max(flag) filter (n = 3) as third, max(votes) filter (n = 3) as third_votes from n group by 1""")
+def plurality_vote(spark, table):
+    found = heuristics.plurality(table("lineitem").select("l_orderkey", F.col("l_returnflag").alias("flag"), F.expr(_ORDER).alias("line")), ["l_orderkey"], "flag", "line")
+    at = lambda k, c: F.get("runners_up", F.lit(k))[c]
+    return found.select("l_orderkey", "flag", "votes", "of", "unanimous", at(0, "flag").alias("second"), at(0, "votes").alias("second_votes"), at(1, "flag").alias("third"), at(1, "votes").alias("third_votes"))

@@ -103,3 +103,21 @@ def test_whole_tables_against_brute_force(spark, tmp_path):
     near = lambda a, b: max(max(a[0], b[0]) - min(a[1], b[1]), 0) ** 2 + max(max(a[2], b[2]) - min(a[3], b[3]), 0) ** 2 <= 4000**2
     want = [(o, n, any(q == o and k % 2 == 0 and near(box(n, p, s), box(k, u, v)) for q, k, _, u, v in lines)) for o, n, _, p, s in lines if n % 2]
     assert run("negative_context_whole") == sorted(want, key=repr) and any(x[2] for x in want if x[0] % 3)
+
+
+def test_reconcile_needs_every_sent_field(spark):
+    at = lambda t: F.timestamp_seconds(t)
+    sends = [(1, 7, 1000, {"a": "1", "b": "2"}), (2, 7, 1000, {"a": "9", "b": "2"}), (3, 7, 1000, {"a": "1"}), (4, 7, 1000, {"a": "1", "c": None}), (5, 8, 1000, {"a": "1", "b": "2"}), (6, 7, 1000, None)]
+    made = [(7, 990, {"a": "1", "b": "2", "x": "0"}), (7, 995, {"a": "3", "b": "2"}), (8, 800, {"a": "1", "b": "2"})]
+    s = spark.createDataFrame(sends, "send_id long, u long, t long, fields map<string,string>").withColumn("t", at("t"))
+    r = spark.createDataFrame(made, "u long, made long, fields map<string,string>").withColumn("made", at("made"))
+    got = {x["send_id"]: (x["candidates"], x["decision"]) for x in records.reconcile(s, r, "u", "t", "made", fields="fields").collect()}
+    assert got == {1: (1, "adopt"), 2: (0, "create"), 3: (2, "ask"), 4: (0, "create"), 5: (0, "create"), 6: (2, "ask")}
+    lone = records.reconcile(s.filter("send_id = 3"), r.filter("made < timestamp_seconds(992)"), "u", "t", "made", fields="fields").first()
+    assert (lone["candidates"], lone["decision"]) == (1, "ask")
+
+
+def test_plurality_with_runners_up(spark):
+    rows = [("x", v, k) for k, v in enumerate("bacabdae")] + [("y", "z", 0), ("y", "z", 1), ("y", None, 2)]
+    got = {x["k"]: tuple(x)[1:] for x in heuristics.plurality(spark.createDataFrame(rows, "k string, v string, n int"), ["k"], "v", "n").collect()}
+    assert got == {"x": ("a", 3, 8, False, [("b", 2), ("c", 1)]), "y": ("z", 2, 2, True, [])}
