@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +32,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stash(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by writing Parquet under the shared folder; :func:`forget` deletes it."""
+    spark = df.sparkSession
+    where = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.stashed_at = where
+    return out
+
+
+def forget(*stashed: DataFrame) -> None:
+    """Deletes what :func:`stash` has written for frames that nothing reads any more."""
+    for df in stashed:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hide(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named c0, c1 and so on, and these names by the old ones: no name of ours clashes then."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

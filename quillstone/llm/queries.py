@@ -68,7 +68,7 @@ def op8_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.cut_texts(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.cut_texts(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

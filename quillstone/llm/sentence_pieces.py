@@ -25,6 +25,8 @@ _SPACE = "▁"
 #: Chunks whose ids a task remembers, and chunks longer than this are joined with a heap.
 CACHE = 400_000
 LONG = 48
+#: Characters of new chunks that are indexed together, and characters of texts that are encoded together.
+TOGETHER, AT_ONCE = 1 << 21, 1 << 23
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -34,14 +36,16 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     shift = codes - codes.min()
     there = np.zeros(int(shift.max()) + 1, np.int64)
     there[shift] = 1
-    rank, width = (np.cumsum(there) - 1)[shift], 1
-    if rank.max() < (1 << 15) - 1:  # four symbols at once
-        padded = np.concatenate((rank + 1, np.zeros(3, np.int64)))
-        key = padded[:-3] << 45 | padded[1:-2] << 30 | padded[2:-1] << 15 | padded[3:]
-        order, width = np.argsort(key), 4
-        rank[order] = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
-    else:
-        order = np.argsort(rank)
+    rank = (np.cumsum(there) - 1)[shift]
+    # as many symbols at once as a number holds
+    bits = int(rank.max() + 1).bit_length()
+    width = max(min(63 // bits, depth), 1)
+    key = np.zeros(len(codes), np.int64)
+    for k in range(width):
+        key <<= bits
+        key[: len(codes) - k] |= rank[k:] + 1
+    order = np.argsort(key)
+    rank[order] = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
     while width < depth and len(codes):
         after = np.full(len(codes), -1, np.int64)
         after[:-width] = rank[width:]
@@ -147,48 +151,52 @@ class Encoder:
             done_e.append(e)
         live = ~np.isin(chunk, slow)
         begin, end, chunk = begin[live], end[live], chunk[live]
+        # the edge that joins each symbol with the next, -1 for none
+        link = np.full(len(begin), -1)
+        pair = np.flatnonzero(chunk[1:] == chunk[:-1])
+        link[pair] = joint(begin[pair], end[pair + 1])
         while len(begin):
-            pair = np.flatnonzero(chunk[1:] == chunk[:-1])
-            edge = joint(begin[pair], end[pair + 1])
-            pair, edge = pair[edge >= 0], edge[edge >= 0]
+            pair = np.flatnonzero(link >= 0)
             if not len(pair):
                 break
-            # chunk, then best rank, then leftmost: in one number where it fits
-            by = np.lexsort((pair, -self.rank[edge], chunk[pair])) if len(chunks) >= 1 << 22 or len(begin) >= 1 << 24 else np.argsort((chunk[pair] << 17 | (len(self.rank) - self.rank[edge])) << 24 | pair)
-            lead = by[np.r_[True, chunk[pair[by]][1:] != chunk[pair[by]][:-1]]]
-            merge = pair[lead]
+            # of each chunk the pair of best rank, the leftmost of equals
+            heads = np.flatnonzero(np.r_[True, chunk[pair[1:]] != chunk[pair[:-1]]])
+            merge = np.minimum.reduceat((len(self.rank) - self.rank[link[pair]]) << 40 | pair, heads) & ((1 << 40) - 1)
             end[merge] = end[merge + 1]
-            keep = np.ones(len(begin), bool)
+            keep = np.zeros(len(chunks), bool)
+            keep[chunk[merge]] = True
+            keep = keep[chunk]
+            done_b.append(begin[~keep])
+            done_e.append(end[~keep])
             keep[merge + 1] = False
-            going = np.zeros(len(chunks), bool)
-            going[chunk[merge]] = True
-            begin, end, chunk = begin[keep], end[keep], chunk[keep]
-            stop = ~going[chunk]
-            if stop.any():
-                done_b.append(begin[stop])
-                done_e.append(end[stop])
-                begin, end, chunk = begin[~stop], end[~stop], chunk[~stop]
+            at = (np.cumsum(keep) - 1)[merge]
+            begin, end, chunk, link = begin[keep], end[keep], chunk[keep], link[keep]
+            for p in (at, at[at > 0] - 1):  # what lies beside a merge has another edge now
+                there = p[p + 1 < len(begin)]
+                there = there[chunk[there] == chunk[there + 1]]
+                link[p[chunk[p] == chunk[np.minimum(p + 1, len(begin) - 1)]]] = -1
+                link[there] = joint(begin[there], end[there + 1])
+            last = at[(at + 1 == len(begin)) | (chunk[np.minimum(at + 1, len(begin) - 1)] != chunk[at])]
+            link[last] = -1
         begin = np.concatenate((*done_b, begin)).astype(np.int64)
         end = np.concatenate((*done_e, end)).astype(np.int64)
         by = np.argsort(begin)
         begin, end = begin[by], end[by]
         edge = joint(begin, end)
-        ids = np.where(edge >= 0, self.ids[edge], -1).tolist()
+        raw = np.where(edge >= 0, self.ids[edge], 0).astype("<u4").tobytes()
         cuts = np.searchsorted(begin, np.r_[first, len(codes)]).tolist()
-        places, stops = begin.tolist(), end.tolist()
-        for k, c in enumerate(chunks):
-            out = ids[cuts[k] : cuts[k + 1]]
-            if -1 in out:  # characters that no piece has: their bytes
-                full = []
-                for at in range(cuts[k], cuts[k + 1]):
-                    if ids[at] >= 0:
-                        full.append(ids[at])
-                    elif self.byte_id:
-                        full += [self.byte_id[b] for b in text[places[at] : stops[at]].encode("utf-8", "replace")]
-                    else:
-                        full.append(self.unknown)
-                out = full
-            self.known[c] = np.array(out, "<u4").tobytes()
+        self.known.update((c, raw[4 * i : 4 * j]) for c, i, j in zip(chunks, cuts, cuts[1:], strict=False))
+        # characters that no piece has: their bytes
+        for k in np.unique(np.searchsorted(first, begin[edge < 0], "right") - 1).tolist():
+            full = []
+            for at in range(cuts[k], cuts[k + 1]):
+                if edge[at] >= 0:
+                    full.append(self.ids[edge[at]])
+                elif self.byte_id:
+                    full += [self.byte_id[b] for b in text[begin[at] : end[at]].encode("utf-8", "replace")]
+                else:
+                    full.append(self.unknown)
+            self.known[chunks[k]] = np.array(full, "<u4").tobytes()
 
     def heap(self, first: int, size: int, key: np.ndarray, row: np.ndarray) -> tuple[list[int], list[int]]:
         """The same for one long chunk."""
@@ -229,8 +237,11 @@ class Encoder:
         if len(self.known) > self.cache:
             self.known = {}
         split = [self.chunks(self.model.normalize(d)) for d in docs]
-        if new := list({c for s in split for c in s if c not in self.known}):
-            self.learn(new)
+        new = list(dict.fromkeys(c for s in split for c in s if c not in self.known))
+        # together, as every call looks for every piece; memory is bounded by the characters of a call
+        size = np.cumsum([len(c) + 1 for c in new]) // TOGETHER
+        for group in np.split(np.array(new, object), np.flatnonzero(np.diff(size)) + 1) if new else ():
+            self.learn(group.tolist())
         return [np.frombuffer(b"".join([self.known[c] for c in s]), "<u4") for s in split]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -253,7 +264,9 @@ def encode_documents(docs: DataFrame, proto: bytes, ids: bool = False) -> DataFr
 
         def step(b):
             data = [t.decode() for t in texts(b.column("text"))]
-            found = encoder.encode(data)
+            size = np.cumsum([len(d) for d in data]) // AT_ONCE
+            edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(data)]
+            found = [f for i, j in zip(edges, edges[1:], strict=False) for f in encoder.encode(data[i:j])]
             out = {"doc_id": b.column("doc_id"), "n_ids": [len(f) for f in found], "ids_crc32": [zlib.crc32(f.tobytes()) for f in found]}
             out["round_trip"] = [encoder.decode(f) == d for f, d in zip(found, data, strict=True)]
             return out | ({"ids": [f.astype(np.int32) for f in found]} if ids else {})
@@ -261,7 +274,7 @@ def encode_documents(docs: DataFrame, proto: bytes, ids: bool = False) -> DataFr
         return step
 
     schema = f"doc_id {kind}, n_ids long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * ids
-    return arrow_map(docs.select("doc_id", "text"), make, schema, rows=1024)
+    return arrow_map(docs.select("doc_id", "text"), make, schema, rows=8192)
 
 
 def decode_documents(encoded: DataFrame, proto: bytes) -> DataFrame:

@@ -52,12 +52,30 @@ def test_empty_table(spark):
 
 def test_drop_repeats_keeps_columns_and_whole_characters(spark):
     rows = corpus()
-    docs = spark.createDataFrame([(a, b, c, 0, "x") for a, b, c in rows], SCHEMA + ", n_chars long, spans string")
-    got = suffix_dedup.drop_repeats(docs.drop("spans")).collect()
-    assert len(got) == len(rows) and got[0].__fields__ == ["doc_id", "text", "source", "n_chars"]
+    more = ("spans", "doc", "marks", "text_hash", "c0", "at", "row")
+    docs = spark.createDataFrame([(a, b, c, 0, *more) for a, b, c in rows], SCHEMA + ", n_chars long, " + ", ".join(f"{m} string" for m in more))
+    got = suffix_dedup.drop_repeats(docs, length=400, words=0).collect()
+    assert len(got) == len(rows) and got[0].__fields__ == ["doc_id", "text", "source", "n_chars", *more]
+    assert all(tuple(r)[4:] == more for r in got)
     assert all((r["text"] is None) or r["n_chars"] == len(r["text"]) for r in got)
     lost = sum(len((t or "").encode()) for _, t, _ in rows) - sum(len((r["text"] or "").encode()) for r in got)
     assert 0 <= sum(x[2] for x in brute(rows, 400)) - lost < 4 * len(rows)
+    told = suffix_dedup.removed_spans(docs).collect()
+    assert sorted(repr(r["row"]["doc_id"]) for r in told) == sorted(repr(r[0]) for r in rows)
+
+
+def test_passages_of_fifty_words_go_and_shorter_repeats_stay(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    long, short = prose(51), prose(45)
+    rows = [(k, f"{prose(r.randint(30, 90))} {long if k % 2 else short} {prose(40)}", "s") for k in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.drop_repeats(docs).collect()}
+    for k, text, _ in rows:
+        assert got[k].split() == (text.replace(long, "") if k % 2 else text).split()
+    told = {r["doc_id"]: (r["n_passages"], r["passage_words"], r["text"]) for r in suffix_dedup.cut_texts(docs).collect()}
+    assert all(told[k][:2] == ((1, 51) if k % 2 else (0, 0)) and (told[k][2] == t or len(long) >= 400) for k, t, _ in rows)
 
 
 def test_deep_shallow_sort_orders_and_equates():
