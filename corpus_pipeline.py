@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that repeat anywhere."""
+    """Documents without the passages of 50 words and more that repeat anywhere; shorter repeats stay."""
     return suffix_dedup.drop_repeats(docs)
 
 
