@@ -2,10 +2,11 @@
 
 Each language has a character model of ``ORDER``; all are kept in one sorted array of n-gram hashes, with a column of
 log-probabilities for each language and one of log back-off weights. A text goes to the language of least cross-entropy
-per character. Thresholds for rejection are calibrated on sampled documents that the counts have not seen.
+per character. Thresholds for rejection are calibrated on sampled documents that the counts have not seen: a text goes
+if it deviates from its language's documents by more than all but ``FALSE_REJECTIONS`` of those, with a margin.
 
-The models are fit on a bounded sample: at most ``SAMPLE_DOCS`` distinct texts over all languages, at most ``SAMPLE_CHARS``
-characters of each. Predictions read whole texts.
+The models are fit on a bounded sample of labelled rows: at most ``SAMPLE_DOCS`` distinct texts over all languages, read
+whole; a third of them calibrates. Predictions read whole texts.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, ddl, hide
 
 ORDER = 4
 SAMPLE_DOCS = 2048
-SAMPLE_CHARS = 8192
-#: Standard deviations over the mean cross-entropy of a language's calibration documents from which a text is rejected.
+#: Share of calibration documents over whose deviation a text is rejected, and the factor that leaves room for others.
+FALSE_REJECTIONS = 0.001
+MARGIN = 1.25
+#: Standard deviations from which a text is rejected where under CALIBRATION_DOCS documents calibrate.
 REJECT_Z = 10.0
+CALIBRATION_DOCS = 200
 #: Characters that count in the score at most; more would drive every score to 1.
 SCORE_CHARS = 32
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -150,10 +154,10 @@ def _kneser_ney(samples: list[np.ndarray], order: int, vocabulary: int) -> tuple
     return probs, backs
 
 
-def fit_models(samples: dict[str, list[np.ndarray]], order: int = ORDER, z: float = REJECT_Z) -> Models:
-    """Models of each language's samples; every fourth sample is kept for calibration."""
+def fit_models(samples: dict[str, list[np.ndarray]], order: int = ORDER, false_rejections: float = FALSE_REJECTIONS) -> Models:
+    """Models of each language's samples; every third sample is kept for calibration."""
     langs = sorted(k for k, v in samples.items() if v)
-    known = {k: [c for i, c in enumerate(samples[k]) if i % 4 != 3 or len(samples[k]) < 8] for k in langs}
+    known = {k: [c for i, c in enumerate(samples[k]) if i % 3 != 2 or len(samples[k]) < 8] for k in langs}
     alphabet = len(set().union(*(np.unique(c).tolist() for k in langs for c in known[k]))) + 1 if langs else 1
     fitted = [_kneser_ney(known[k], order, alphabet) for k in langs]
     # in the shared arrays a language has a value for every n-gram of any language: its own, or its back-off
@@ -182,9 +186,10 @@ def fit_models(samples: dict[str, list[np.ndarray]], order: int = ORDER, z: floa
     contexts = np.array(sorted(weights), np.uint64)
     width = len(langs)
     log = lambda d, k: np.log(np.array([d[x] for x in k.tolist()]).reshape(-1, width)).astype(np.float32)
-    m = Models(langs, order, keys if len(keys) else np.zeros(1, np.uint64), log(table, keys) if len(keys) else np.zeros((1, width), np.float32), contexts if len(contexts) else np.zeros(1, np.uint64), log(weights, contexts) if len(contexts) else np.zeros((1, width), np.float32), float(np.log(1e-2 / alphabet)), np.zeros(width), np.full(width, 1.0), np.full(width, 2.0), z)
+    m = Models(langs, order, keys if len(keys) else np.zeros(1, np.uint64), log(table, keys) if len(keys) else np.zeros((1, width), np.float32), contexts if len(contexts) else np.zeros(1, np.uint64), log(weights, contexts) if len(contexts) else np.zeros((1, width), np.float32), float(np.log(1e-2 / alphabet)), np.zeros(width), np.full(width, 1.0), np.full(width, 2.0))
+    deviations = []
     for j, k in enumerate(langs):
-        held = [c for i, c in enumerate(samples[k]) if i % 4 == 3 and len(samples[k]) >= 8] or known[k]
+        held = [c for i, c in enumerate(samples[k]) if i % 3 == 2 and len(samples[k]) >= 8] or known[k]
         per = [-m.log_probs(c)[:, j].astype(np.float64) for c in held if len(c) > 1]
         if per:
             entropy, weight = np.array([x.mean() for x in per]), np.array([len(x) for x in per])
@@ -193,29 +198,36 @@ def fit_models(samples: dict[str, list[np.ndarray]], order: int = ORDER, z: floa
             # what documents differ by beyond the noise of their characters
             excess = (entropy - m.mean[j]) ** 2 - m.char_sd[j] ** 2 / weight
             m.sd[j] = max(np.sqrt(max(np.average(excess, weights=np.minimum(weight, 1000)), 0)), 0.05)
+            if held is not known[k]:
+                deviations.append((entropy - m.mean[j]) / np.sqrt(m.sd[j] ** 2 + m.char_sd[j] ** 2 / weight))
+    pooled = np.concatenate(deviations) if deviations else np.zeros(0)
+    if len(pooled) >= CALIBRATION_DOCS:
+        m.z = MARGIN * float(np.quantile(pooled, 1 - false_rejections))
     return m
 
 
-def train(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Models:
+def train(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Models:
     """Models from rows of ``labelled`` (text, lang) whose lang and text are not null; the sample is bounded, see the module.
 
-    Sampled are the distinct texts of each language with the smallest hashes. No such rows: models of no language.
+    Sampled are the distinct texts of each language with the smallest hashes. Hashes are spread evenly, so a threshold on
+    the hash, from an estimate of a language's distinct texts, picks them in one pass; rank among so few decides at the
+    driver. No such rows: models of no language.
     """
     rows = labelled.filter("lang is not null and length(trim(text)) > 0").select("lang", "text", F.xxhash64("text").alias("h"))
-    langs = rows.select("lang").distinct().count()
-    if not langs:
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
+    if not sizes:
         return fit_models({}, order)
-    each = max(8, sample_docs // langs)
-    distinct = rows.groupBy("lang", "h").agg(F.lit(1).alias("one"))
-    chosen = distinct.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= each)
-    chosen = chosen.select(F.col("lang").alias("l"), F.col("h").alias("k"))  # at most sample_docs rows
-    texts = rows.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k")))
-    texts = texts.groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
+    each = max(8, sample_docs // len(sizes))
+    # a fifth and some more, so that a language that has ``each`` texts almost surely gives as many
+    limits = [(r["lang"], min(int(2**64 * min(1.0, (1.2 * each + 64) / max(r["n"], 1))) - 2**63, 2**63 - 1)) for r in sizes]
+    limits = labelled.sparkSession.createDataFrame(limits, "l string, most long")
+    texts = rows.join(F.broadcast(limits), (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("most")))
+    texts = texts.groupBy("lang", "h").agg(F.min("text").alias("text"))
     samples: dict[str, list[np.ndarray]] = {}
     for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):
         c = characters(r["text"])
-        if len(c) > 1:
-            samples.setdefault(r["lang"], []).append(c)
+        if len(c) > 1 and len(samples.setdefault(r["lang"], [])) < each:
+            samples[r["lang"]].append(c)
     return fit_models(samples, order)
 
 
@@ -223,22 +235,36 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     """All columns of ``docs`` with lang_pred, score (0 to 1), cross_entropy (nats a character) and rejected.
 
     lang_pred is ``und``, with score 0 and rejected, where the text is null or has no letter. A text over its language's
-    calibrated threshold is rejected too, but keeps its prediction. Ties go to the first language by name.
+    calibrated threshold is rejected too, but keeps its prediction. Ties go to the first language by name. Columns of
+    ``docs`` with one of the four names give way; use :func:`recognised` to keep them.
     """
-    held = docs.sparkSession.sparkContext.broadcast(models)
-    added = ("lang_pred", "score", "cross_entropy", "rejected")
-    docs = docs.drop(*added)
+    hidden, names = hide(docs)
+    out = _identified(hidden, names["text"], models)
+    kept = [c for c in docs.columns if c not in _ADDED]
+    return out.select(*(F.col(names[c]).alias(c) for c in kept), *_ADDED)
+
+
+def recognised(docs: DataFrame, models: Models) -> DataFrame:
+    """The rows of ``docs`` that :func:`identify` does not reject, with the columns of ``docs``, whatever their names."""
+    hidden, names = hide(docs)
+    return _identified(hidden, names["text"], models).filter("not rejected").select(*names.values()).toDF(*docs.columns)
+
+
+_ADDED = ("lang_pred", "score", "cross_entropy", "rejected")
+
+
+def _identified(hidden: DataFrame, text: str, models: Models) -> DataFrame:
+    held = hidden.sparkSession.sparkContext.broadcast(models)
 
     def make():
         models = held.value
         names = [*models.langs, "und"]
 
         def step(b):
-            found = [models.decide(characters(t)) for t in b.column("text").to_pylist()]
+            found = [models.decide(characters(t)) for t in b.column(text).to_pylist()]
             out = {c: b.column(c) for c in b.schema.names}
-            return out | {"lang_pred": [names[f[0]] for f in found]} | {c: [f[k] for f in found] for k, c in enumerate(added) if k}
+            return out | {"lang_pred": [names[f[0]] for f in found]} | {c: [f[k] for f in found] for k, c in enumerate(_ADDED) if k}
 
         return step
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return arrow_map(docs, make, f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return arrow_map(hidden, make, f"{ddl(hidden)}, lang_pred string, score double, cross_entropy double, rejected boolean")

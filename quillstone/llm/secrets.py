@@ -25,11 +25,12 @@ PIECE = 512
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 _HEX = re.compile("[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=~-]{20,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
 #: Hex digests of 128 to 512 bits, UUIDs, and numbers with separators.
 _KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=~-]+)")
-#: Least length of a run, of letters judged together, and of what is left of a run beside other spans.
-LEAST, LEAST_WORD, LEAST_REST = 20, 4, 6
+#: Least length of a run, of a run of letters alone, of letters judged together, and of what is left of a run beside
+#: other spans.
+LEAST, LEAST_LETTERS, LEAST_WORD, LEAST_REST = 16, 20, 4, 6
 #: A run of letters alone, joined by separators, as ordinary writing makes.
 _WORDS = re.compile(r"[+/_=~-]*(?:[A-Za-z]+[+/_=~-]+)*[A-Za-z]*")
 
@@ -71,6 +72,7 @@ def random_parts(run: str, tokens, ratio: float, least: int) -> list[tuple[int,
         return []
     if not _WORDS.fullmatch(run):
         return [(0, len(run))] if random([run]) else []
+    least = max(least, LEAST_LETTERS) if least == LEAST else least
     words = [w for w in re.finditer("[A-Za-z]+", run) if len(w.group()) >= LEAST_WORD]
     found = [w.span() for w in words if len(w.group()) >= least and random([w.group()])]
     rest = [w.group() for w in words if w.span() not in found]
@@ -123,15 +125,27 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def redact(found: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``found`` with every span of ``secrets`` replaced by ``mark`` in the text, without the secrets column; n_chars follows."""
+    """``found`` with every span of ``secrets`` replaced by ``mark`` in the text, without the secrets column; n_chars follows.
+
+    Spans that overlap get one mark. Null texts stay null.
+    """
     names = [c for c in found.columns if c != "secrets"]
-    # spans in order; those that overlap what is already replaced only extend it
+    text, start, end = F.col("text"), lambda s: s["start"].cast("int"), lambda s: s["end"].cast("int")
+    # what lies before each span that reaches further than those before it, then the rest: each slice is cut once
     step = lambda a, s: F.struct(
-        F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
-        F.greatest(a["at"], s["end"]).alias("at"),
+        F.when(s["start"] < a["at"], a["parts"]).otherwise(F.concat(a["parts"], F.array(F.substring(text, a["at"] + 1, start(s) - a["at"])))).alias("parts"),
+        F.greatest(a["at"], end(s)).alias("at"),
     )
-    done = F.aggregate("secrets", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["out"], F.expr("text").substr((a["at"] + 1).cast("int"), F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("secrets") > 0, done).otherwise(F.col("text")))
+    nothing = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
+    done = F.aggregate("secrets", nothing, step, lambda a: F.array_join(F.concat(a["parts"], F.array(text.substr(a["at"] + 1, F.length(text)))), mark))
+    out = found.withColumn("text", F.when(F.size("secrets") > 0, done).otherwise(text))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(found.schema["n_chars"].dataType))
     return out.select(*names)
+
+
+def without_secrets(docs: DataFrame, ranks: bytes, pattern: str, ratio: float = RATIO) -> DataFrame:
+    """``docs`` with the text redacted and its columns kept, one called secrets among them."""
+    named = {c: "_secrets" if c == "secrets" else c for c in docs.columns}
+    out = redact(find_secrets(docs.withColumnsRenamed({c: v for c, v in named.items() if c != v}), ranks, pattern, ratio))
+    return out.select(*(F.col(v).alias(c) for c, v in named.items()))

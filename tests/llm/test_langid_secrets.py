@@ -41,6 +41,18 @@ def test_held_out_and_edges(spark):
     assert all(0 <= x["score"] <= 1 for x in got)
 
 
+def test_noise_and_other_languages_go_and_clean_texts_stay(spark):
+    r = random.Random(2)
+    rows = [(k, prose(r, lang, r.randint(5, 80)), lang) for lang in SYLLABLES for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(docs)
+    clean = [(k, prose(r, lang, r.randint(5, 80)), "clean") for lang in SYLLABLES for k in range(200)]
+    noise = [(k, " ".join("".join(r.choice("bcdfghjklmnpqrstvwxyz") for _ in range(r.randint(2, 9))) for _ in range(12)), "noise") for k in range(100)]
+    foreign = [(k, "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki", "noise") for k in range(3)]
+    got = langid.recognised(spark.createDataFrame(clean + noise + foreign, "doc_id long, text string, rejected string"), m).collect()
+    assert sum(x["rejected"] == "noise" for x in got) <= 1 and sum(x["rejected"] == "clean" for x in got) >= 0.995 * len(clean)
+
+
 def test_no_training_rows(spark):
     m = langid.train(labelled(spark).filter("lang = 'zz'"))
     assert {x["lang_pred"] for x in langid.identify(labelled(spark), m).collect()} == {"und"}
@@ -106,13 +118,13 @@ def test_base_spans_equal_the_patterns(spark):
 
 
 def test_random_strings_are_found_and_digests_are_not(spark):
-    rows = [(1, "use key Xq7Rz2LmPv9TkWb4NcYd8HsJ now"), (2, "md5 D41D8CD98F00B204E9800998ECF8427E"), (3, "id 3F2504E0-4F89-11D3-9A0C-0305E82C3301 ok"), (4, "supercalifragilisticexpialidocious internationalization_and_localization"), (5, "+1 555 000 1111 2024-01-01 00000000000000000000000")]
+    rows = [(1, "use key Xq7Rz2LmPv9TkWb4NcYd8HsJ now"), (2, "md5 D41D8CD98F00B204E9800998ECF8427E"), (3, "id 3F2504E0-4F89-11D3-9A0C-0305E82C3301 ok"), (4, "supercalifragilisticexpialidocious internationalization_and_localization"), (5, "+1 555 000 1111 2024-01-01 00000000000000000000000"), (6, "short Xq7Rz2LmPv9TkWb4Nc key")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = secrets.find_secrets(df, *byte_ranks())
     got = {r["doc_id"]: r["spans"] for r in secrets.digests(found).collect()}
     assert got[1] == "random:8:32" and [got[k] for k in (2, 3, 4, 5)] == ["", "", "", ""]
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(found).collect()}
-    assert clean[1] == "use key [secret] now" and clean[2] == rows[1][1]
+    assert got[6] == "random:6:24" and clean[1] == "use key [secret] now" and clean[2] == rows[1][1]
 
 
 def test_redaction_of_overlaps_and_clashing_columns(spark):
@@ -120,6 +132,8 @@ def test_redaction_of_overlaps_and_clashing_columns(spark):
     got = {r["doc_id"]: r for r in secrets.redact(secrets.find_secrets(df, *byte_ranks())).collect()}
     assert got[1]["text"] == "é [secret] end" and got[1]["n_chars"] == 14 and got[2]["text"] is None
     assert secrets.find_secrets(df.limit(0), *byte_ranks()).collect() == []
+    kept = {r["doc_id"]: r for r in secrets.without_secrets(df, *byte_ranks()).collect()}
+    assert kept[1]["text"] == "é [secret] end" and kept[1]["secrets"] == "s" and kept[1].__fields__ == df.columns
 
 
 def test_letters_alone_and_rests_of_runs(spark):
