@@ -17,8 +17,7 @@ from quillstone.llm.queries import byte_ranks, word_spec
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: without letters, or unlike every learned language, they go."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.filter("not rejected").select(*docs.columns)
+    return langid.recognised(docs, langid.train(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +32,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret replaced by a mark."""
-    return secrets.redact(secrets.find_secrets(docs, *byte_ranks())).select(*docs.columns)
+    return secrets.without_secrets(docs, *byte_ranks())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
