@@ -156,20 +156,24 @@ def _sliced_marks(rows: DataFrame, length: int, key: tuple[str, ...]) -> DataFra
     cells = stash(arrow_map(rows, make, f"core long, edge binary, {ids}, first long, low int, high int, copies long"))
     cell = ["core", "edge", "low", "high"]
     held = stash(cells.groupBy(*cell).agg(F.sum("copies").alias("n")))
-    kinds = held.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    whole = cells.filter("copies = 1").join(held.filter("n > 1").select(*cell), cell, "left_semi")
+    kinds = stash(held.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core"))
+    lone = cells.filter("copies = 1")
+    whole = lone.join(held.filter("n > 1").select(*cell), cell, "left_semi")
     whole = whole.select(*key, (F.col("first") + F.col("low")).alias("first"), (F.col("first") + F.col("high")).alias("last"))
-    contested = cells.join(kinds.select("core"), "core", "left_semi")
     t = F.col("t")
-    # string t of a slice: its core, the left edge from byte t on and t bytes of the right edge
-    one = contested.withColumn("t", F.explode(F.sequence("low", "high")))
-    left = F.expr(f"substring(edge, t + 1, {SLICE - 1} - t)")
-    right = F.expr(f"substring(edge, {SLICE}, t)")
-    one = stash(one.select("core", "t", left.alias("left"), right.alias("right"), *key, (F.col("first") + t).alias("first"), "copies"))
-    again = one.groupBy("core", "t", "left", "right").agg(F.sum("copies").alias("n")).filter("n > 1").drop("n")
-    single = one.filter("copies = 1").join(again, ["core", "t", "left", "right"], "left_semi").select(*key, "first", F.col("first").alias("last"))
+
+    def strings(df: DataFrame, *more: str) -> DataFrame:
+        """String t of a slice: its core, the left edge from byte t on and t bytes of the right edge."""
+        left, right = F.expr(f"substring(edge, t + 1, {SLICE - 1} - t)"), F.expr(f"substring(edge, {SLICE}, t)")
+        return df.withColumn("t", F.explode(F.sequence("low", "high"))).select("core", "t", left.alias("left"), right.alias("right"), *more)
+
+    # each kind of slice once, with its count: copies of a slice need no strings of their own
+    contested = stash(held.join(kinds, "core"))
+    again = stash(strings(contested, "n").groupBy("core", "t", "left", "right").agg(F.sum("n").alias("n")).filter("n > 1").drop("n"))
+    single = strings(lone.join(contested.filter("n = 1").select(*cell), cell, "left_semi"), *key, "first")
+    single = single.join(again, ["core", "t", "left", "right"], "left_semi").select(*key, (F.col("first") + t).alias("first"), (F.col("first") + t).alias("last"))
     out = stash(whole.unionByName(single))
-    forget(cells, held, one)
+    forget(cells, held, kinds, contested, again)
     return out
 
 
@@ -202,13 +206,13 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
     long_enough = docs.filter(F.octet_length("text") >= length).select(*key, "text")
     every = stash(arrow_map(long_enough, make, f"anchor long, content_hash long, {ids}, start int, strings int, far int"))
     # most anchors have one record, and their strings cannot repeat
-    busy = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    busy = stash(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     recs = stash(every.join(busy, "anchor", "left_semi"))
-    forget(every)
+    forget(every, busy)
     first = F.min(F.struct(*key, "start", "strings", "far")).alias("at")
     held = stash(recs.groupBy("anchor", "content_hash").agg(F.count("*").alias("copies"), first))
     copied = held.filter("copies > 1").select("anchor", "content_hash")
-    kinds = held.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    kinds = stash(held.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     whole = recs.join(copied, ["anchor", "content_hash"], "left_semi").select(*key, F.col("start").cast("long").alias("first"), (F.col("start") + F.col("strings") - 1).cast("long").alias("last"))
     contested = held.join(kinds, "anchor").select("anchor", "kinds", "copies", "at.*")
     fields = ("anchor", "kinds", "copies", "start", "strings", "far")
@@ -236,7 +240,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
     for more in sliced:
         marks = marks.unionByName(more)
     out = stash(marks.groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("marks")))
-    forget(recs, held, rows, *sliced)
+    forget(recs, held, kinds, rows, *sliced)
     return out
 
 
