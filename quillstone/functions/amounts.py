@@ -54,6 +54,34 @@ def format_amount(minor: Column, digits: Column) -> Column:
     return F.concat(F.when(minor < 0, "-").otherwise(""), text)
 
 
+def parse_decimal(text: Column, digits: Column) -> Column:
+    """Minor units of a canonical decimal text, the inverse of :func:`format_amount`; anything else is refused.
+
+    A '-' may lead; there are at most ``digits`` decimals, a '.' before them, no grouping, at most BOUND minor units.
+    """
+    whole, part = F.split_part(text, F.lit("."), F.lit(1)), F.split_part(text, F.lit("."), F.lit(2))
+    minor = F.concat(whole, F.rpad(part, digits, "0")).try_cast("decimal(38,0)")
+    good = text.rlike(r"^-?[0-9]{1,20}(\.[0-9]+)?$") & (F.length(part) <= digits) & (F.abs(minor) <= BOUND)
+    return F.when(good, minor.cast("bigint"))
+
+
+def plus(a: Column, b: Column, currency_a: Column, currency_b: Column) -> Column:
+    """The sum of two amounts of one currency; null for two currencies or beyond BOUND."""
+    total = wide(a) + wide(b)
+    return F.when((currency_a == currency_b) & (F.abs(total) <= BOUND), total.cast("bigint"))
+
+
+def compared(a: Column, b: Column, currency_a: Column, currency_b: Column) -> Column:
+    """-1, 0 or 1 for two amounts of one currency, else null."""
+    return F.when(currency_a == currency_b, F.signum(wide(a) - wide(b)).cast("int"))
+
+
+def total(minor: Column) -> Column:
+    """Aggregate: the sum of amounts, null beyond BOUND."""
+    s = F.sum(wide(minor))
+    return F.when(F.abs(s) <= BOUND, s.cast("bigint"))
+
+
 def parse_rate(printed: Column) -> Column:
     """Basis points (0 to 10000) of a printed percentage with at most two decimals."""
     bp = F.round(printed.try_cast("decimal(10,4)") * 100).cast("int")

@@ -40,3 +40,14 @@ def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
 def segmentation(words: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """by, tokens, whitespace_share, median_length of words."""
     return words.groupBy(*by).agg(F.count("*").alias("tokens"), F.avg(F.col(text).rlike(r"\s").cast("int")).alias("whitespace_share"), F.median(F.length(text)).alias("median_length"))
+
+
+def product_metrics(docs: DataFrame, touched: Column, green: Column, abstained: Column, taps: Column) -> DataFrame:
+    """documents, untouched, green, abstained (shares) and taps (median) over all documents, in one aggregation."""
+    share = lambda c: F.avg(c.cast("int"))
+    return docs.agg(F.count("*").alias("documents"), share(~touched).alias("untouched"), share(green).alias("green"), share(abstained).alias("abstained"), F.median(taps).alias("taps"))
+
+
+def contrast(stored: DataFrame, formula: DataFrame, key: str, value: str, computed: str) -> DataFrame:
+    """key, differs: whether a stored total differs from what the destination's formula made of it."""
+    return stored.join(formula, key).select(key, (F.col(value) != F.col(computed)).alias("differs"))

@@ -138,3 +138,10 @@ def match_words(reference: DataFrame, candidate: DataFrame, keys: list[str]) ->
         return pd.DataFrame(keep, columns=list(pdf.columns))
 
     return met.groupBy(*keys, "text").applyInPandas(greedy, met.schema)
+
+
+def einvoice(invoices: DataFrame, key: str, xml: str) -> DataFrame:
+    """key, number, currency, gross (text) of e-invoices; null for what the XML has not, which is a state of its own."""
+    read = lambda path: F.nullif(F.xpath_string(xml, F.lit(path)), F.lit(""))
+    total = "/Invoice/LegalMonetaryTotal/PayableAmount"
+    return invoices.select(key, read("/Invoice/ID").alias("number"), read(f"{total}/@currencyID").alias("currency"), read(total).alias("gross"))
