@@ -69,14 +69,16 @@ def reconcile(sends: DataFrame, records: DataFrame, user: str, sent_at: str, cre
     """
     bucket = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(seconds * 1_000_000))
     r = records.select(F.col(user).alias("_u"), F.col(created_at).alias("_at"), bucket(F.col(created_at)).alias("_w"), *([F.col(fields).alias("_f")] if fields else []))
-    s = sends.withColumn("_w", F.explode(F.array(bucket(F.col(sent_at)), bucket(F.col(sent_at)) - 1)))
+    # equal sends are one row with a count, and come back as so many
+    counted = sends.groupBy(*sends.columns).agg(F.count("*").cast("int").alias("_copies"))
+    s = counted.withColumn("_w", F.explode(F.array(bucket(F.col(sent_at)), bucket(F.col(sent_at)) - 1)))
     inside = (F.col("_at") <= F.col(sent_at)) & (F.col("_at") >= F.col(sent_at) - F.expr(f"interval {seconds} seconds"))
     few = F.lit(False)
     if fields:
         few = F.coalesce(F.size(fields), F.lit(0)) < 2
         inside &= few | F.coalesce(F.forall(F.map_entries(fields), lambda e: F.map_contains_key("_f", e["key"]) & F.col("_f")[e["key"]].eqNullSafe(e["value"])), F.lit(False))
-    met = s.join(r, (F.col(user) == F.col("_u")) & (s["_w"] == r["_w"]) & inside, "left").groupBy(*sends.columns).agg(F.count("_at").alias("candidates"))
-    return met.withColumn("decision", F.when(F.col("candidates") == 0, "create").when((F.col("candidates") == 1) & ~few, "adopt").otherwise("ask"))
+    met = s.join(r, (F.col(user) == F.col("_u")) & (s["_w"] == r["_w"]) & inside, "left").groupBy(*sends.columns, "_copies").agg(F.count("_at").alias("candidates"))
+    return met.withColumn("decision", F.when(F.col("candidates") == 0, "create").when((F.col("candidates") == 1) & ~few, "adopt").otherwise("ask")).withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies")
 
 
 def queue_prefix(queue: DataFrame, destination: str, order: list[str], stops: Column) -> DataFrame:

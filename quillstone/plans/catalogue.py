@@ -221,21 +221,14 @@ def tax_tolerance(spark, table):
     return rows.select("l_orderkey", "l_linenumber", "tax", amounts.tax_within_tolerance(F.col("base"), F.col("tax"), F.col("rate")).alias("within_tolerance"))
 
 
-#: An order's operands: a base for each line, a fifth of it as tax for some, and their sum as gross for some.
-_OPERANDS = f"""
-select l_orderkey as doc_id, 'base' as role, {_MINOR.format('l_extendedprice')} as minor from lineitem where l_linenumber <= 3
-union all select l_orderkey, 'tax', floor({_MINOR.format('l_extendedprice')} * 21 / 100) from lineitem where l_linenumber = 1 or l_orderkey % 5 = 0 and l_linenumber <= 2
-union all select l_orderkey, 'gross', {_MINOR.format('l_extendedprice')} + floor({_MINOR.format('l_extendedprice')} * 21 / 100) from lineitem where l_orderkey % 3 > 0 and l_linenumber <= l_orderkey % 4 and l_linenumber <= 3"""
-
-
 #: The operands of all lines: a base for each, a fifth of it as tax for the first or all, and their sum as gross for some.
-_ALL_OPERANDS = f"""
+_OPERANDS = f"""
 select l_orderkey as doc_id, 'base' as role, {_MINOR.format('l_extendedprice')} as minor from lineitem
 union all select l_orderkey, 'tax', floor({_MINOR.format('l_extendedprice')} * 21 / 100) from lineitem where l_linenumber = 1 or l_orderkey % 5 = 0
 union all select l_orderkey, 'gross', {_MINOR.format('l_extendedprice')} + floor({_MINOR.format('l_extendedprice')} * 21 / 100) from lineitem where l_orderkey % 3 > 0 and l_linenumber <= l_orderkey % 8"""
 
 
-def all_operands(table) -> DataFrame:
+def order_operands(table) -> DataFrame:
     line = table("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), minor("l_extendedprice").alias("m"))
     tax = F.floor(F.col("m") * 21 / 100).cast("bigint")
     made = F.array(
@@ -246,17 +239,6 @@ def all_operands(table) -> DataFrame:
     return line.select("doc_id", F.explode(made).alias("x")).select("doc_id", "x.*").filter("role is not null")
 
 
-def order_operands(spark, table) -> DataFrame:
-    line = table("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), minor("l_extendedprice").alias("m")).filter("n <= 3")
-    tax = F.floor(F.col("m") * 21 / 100).cast("bigint")
-    made = F.array(
-        F.struct(F.lit("base").alias("role"), F.col("m").alias("minor")),
-        F.struct(F.when(F.expr("n = 1 or doc_id % 5 = 0 and n <= 2"), "tax").alias("role"), tax.alias("minor")),
-        F.struct(F.when(F.expr("doc_id % 3 > 0 and n <= doc_id % 4"), "gross").alias("role"), (F.col("m") + tax).alias("minor")),
-    )
-    return line.select("doc_id", F.explode(made).alias("x")).select("doc_id", "x.*").filter("role is not null")
-
-
 _TRIPLES = f"""
 with o as (select distinct doc_id, role, cast(minor as bigint) as minor from ({_OPERANDS})),
 t as (select b.doc_id, b.minor as base, t.minor as tax, g.minor as gross from o b join o t on b.doc_id = t.doc_id and b.role = 'base' and t.role = 'tax'
@@ -265,7 +247,7 @@ t as (select b.doc_id, b.minor as base, t.minor as tax, g.minor as gross from o
 
 @query(_TRIPLES + " select * from t")
 def amount_triples(spark, table):
-    return solver.triples(order_operands(spark, table))
+    return solver.triples(order_operands(table))
 
 
 @query(_TRIPLES + """,
@@ -275,13 +257,15 @@ s as (select doc_id, count(distinct minor) filter (role = 'base') as nb, count(d
 u as (select doc_id, nb, nt, ng, case when nb = 1 then b end as b, case when nt = 1 then t end as t, case when ng = 1 then g end as g from s),
 d as (select *, case when nb = 0 and nt = 1 and ng = 1 then g - t else b end as db, case when nb = 1 and nt = 0 and ng = 1 then g - b else t end as dt, case when nb = 1 and nt = 1 and ng = 0 then b + t else g end as dg,
         nb + nt + ng = 2 and nb <= 1 and nt <= 1 and ng <= 1 as two from u),
-e as (select *, two and coalesce(list_bool_or([abs(cast(dt as hugeint) * 10000 - cast(db as hugeint) * r) <= 10000 for r in [2100, 1000, 400, 0]]), false) as derived from d)
+e as (select *, two and doc_id % 4 > 0 and coalesce(abs(cast(dt as hugeint) * 10000 - cast(db as hugeint) * 2100) <= 10000, false) as derived from d)
 select e.doc_id, case when n.n = 1 then 'read' when n.n > 1 then 'ambiguous' when derived then 'derived' else 'single' end as outcome,
   case when n.n = 1 then n.base when n.n > 1 then null when derived then db else b end as base, case when n.n = 1 then n.tax when n.n > 1 then null when derived then dt else t end as tax,
   case when n.n = 1 then n.gross when n.n > 1 then null when derived then dg else g end as gross
 from e left join n using (doc_id)""")
 def breakdown_solve(spark, table):
-    return solver.solve(order_operands(spark, table), dims.legal_rates(spark).filter("country = 'ES'"))
+    """Three of four orders print the rate of 21 %; the others derive nothing."""
+    operands = order_operands(table)
+    return solver.solve(operands, operands.filter("doc_id % 4 > 0").select("doc_id", F.lit(2100).alias("rate_bp")))
 
 
 @query(f"""
@@ -291,7 +275,7 @@ f as (select r.doc_id, r.rate_bp, b.minor as base, t.minor as tax from r join o
 u as (select doc_id, rate_bp, min(base) as base, min(tax) as tax from f group by 1, 2 having count(*) = 1)
 select r.doc_id, cast(r.rate_bp as bigint) as rate_bp, u.base, u.tax from r left join u using (doc_id, rate_bp)""")
 def tax_slots(spark, table):
-    operands = order_operands(spark, table)
+    operands = order_operands(table)
     rates = operands.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, (2100, 1000, 400)))).alias("rate_bp"))
     return solver.tax_slots(operands, rates).withColumn("rate_bp", big("rate_bp"))
 
@@ -359,28 +343,44 @@ def line_grouping(spark, table):
     return found.select("doc_id", big("line_no").alias("line_no"), "text", *[big(c).alias(c) for c in ("x0", "x1", "top", "bottom")])
 
 
+@query(f"""
+with {_WORDS_SQL}, n as (select doc_id, word_no // 3 as line_no, min(x0) as x0, max(x1) as x1, min(top) as top, max(bottom) as bottom from w group by 1, 2),
+l as (select w.doc_id, w.word_no as label_id, w.x0, w.x1, n.top, n.bottom, n.line_no from w join n on n.doc_id = w.doc_id and n.line_no = w.word_no // 3 where word_no % 3 = 1),
+v as (select w.doc_id, w.x0, w.x1, n.x0 as nx0, n.x1 as nx1, n.top, n.line_no, word_no * 100 as value from w join n on n.doc_id = w.doc_id and n.line_no = w.word_no // 3 where word_no % 3 <> 1),
+m as (select l.doc_id, l.label_id, v.value, v.top as vt, v.line_no as vl, v.x0 as vx, case when v.line_no = l.line_no and v.x0 >= l.x1 then 0
+  when v.top > l.bottom and v.top - l.bottom <= 2 * (l.bottom - l.top) and v.nx1 > l.x0 and v.nx0 < l.x1 and v.x1 > l.x0 then 1 end as tier from l join v using (doc_id))
+select doc_id, cast(label_id as bigint) as label_id, cast(value as bigint) as value, tier = 0 as same_line from m where tier is not null
+qualify row_number() over (partition by doc_id, label_id order by tier, case when tier = 1 then vt end, case when tier = 1 then vl end, vx, value) = 1""")
+def label_binding(spark, table):
+    words = order_words(table).withColumn("line_no", F.expr("word_no div 3"))
+    lines = words.groupBy("doc_id", "line_no").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
+    labels = words.filter("word_no % 3 = 1").withColumnRenamed("word_no", "label_id").drop("text")
+    values = words.filter("word_no % 3 <> 1").withColumn("value", big(F.col("word_no") * 100))
+    found = binding.bind_labels(labels, values, lines, ["doc_id"])
+    return found.select("doc_id", big("label_id").alias("label_id"), "value", "same_line")
+
+
 @query(f"""
 with {_WORDS_SQL}, l as (select doc_id, word_no as label_id, x0, x1, top, bottom, word_no // 3 as line_no from w where word_no % 3 = 1), v as (select doc_id, x0, x1, top, bottom, word_no // 3 as line_no, word_no * 100 as value from w where word_no % 3 <> 1),
 m as (select l.doc_id, l.label_id, v.value, v.top as vt, v.x0 as vx, case when v.line_no = l.line_no and v.x0 >= l.x1 then 0 when v.line_no > l.line_no and v.top - l.bottom <= 2 * (l.bottom - l.top) and v.x1 > l.x0 and v.x0 < l.x1 then 1 end as tier from l join v using (doc_id))
 select doc_id, cast(label_id as bigint) as label_id, cast(value as bigint) as value, tier = 0 as same_line from m where tier is not null
 qualify row_number() over (partition by doc_id, label_id order by tier, case when tier = 1 then vt end, vx, value) = 1""")
-def label_binding(spark, table):
+def label_probe(spark, table):
     words = order_words(table).withColumn("line_no", F.expr("word_no div 3"))
     labels = words.filter("word_no % 3 = 1").withColumnRenamed("word_no", "label_id").drop("text")
     values = words.filter("word_no % 3 <> 1").withColumn("value", big(F.col("word_no") * 100))
-    found = binding.bind_labels(labels, values, ["doc_id"])
+    found = binding.probe_labels(labels, values, ["doc_id"])
     return found.select("doc_id", big("label_id").alias("label_id"), "value", "same_line")
 
 
 @query(f"""
-with {_WORDS_SQL}, o as (select * from w where word_no % 2 = 1), t as (select * from w where word_no % 2 = 0 and doc_id % 3 = 0)
+with {_WORDS_SQL}, o as (select * from w where word_no % 2 = 1), t as (select * from w where word_no % 2 = 0)
 select o.doc_id, cast(o.word_no as bigint) as word_no, exists (select 1 from t where t.doc_id = o.doc_id and
   power(greatest(greatest(o.x0, t.x0) - least(o.x1, t.x1), 0), 2) + power(greatest(greatest(o.top, t.top) - least(o.bottom, t.bottom), 0), 2) <= 4000 * 4000) as suppressed from o""")
 def negative_context(spark, table):
     words = order_words(table)
-    kept, gone = negative.split_by_context(words.filter("word_no % 2 = 1"), words.filter("word_no % 2 = 0 and doc_id % 3 = 0"), ["doc_id"], radius=4000)
-    both = kept.withColumn("suppressed", F.lit(False)).unionByName(gone.withColumn("suppressed", F.lit(True)))
-    return both.select("doc_id", big("word_no").alias("word_no"), "suppressed")
+    found = negative.flag_context(words.filter("word_no % 2 = 1"), words.filter("word_no % 2 = 0"), ["doc_id"], radius=4000)
+    return found.select("doc_id", big("word_no").alias("word_no"), "suppressed")
 
 
 _SHOWN = ["€", "eur", "EUR", "usd", "$", "total", "XXX"]
@@ -494,13 +494,13 @@ def retry_plan(spark, table):
 
 
 @query("""
-with w as (select conv_id, turn, trim(regexp_replace(lower(x), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')) as word from (select conv_id, turn, unnest(string_split_regex(text, '\\s+')) as x from conversations where turn < 3)),
+with w as (select conv_id, turn, trim(regexp_replace(lower(x), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')) as word from (select conv_id, turn, unnest(string_split_regex(text, '\\s+')) as x from conversations)),
 n as (select conv_id, turn, word, count(*) as n from w where word <> '' group by 1, 2, 3), s as (select conv_id, turn, sum(n) as size from n group by 1, 2),
 p as (select a.conv_id, a.turn as t1, b.turn as t2, greatest(a.size, b.size) as larger from s a join s b on a.conv_id = b.conv_id and a.turn < b.turn),
 m as (select a.conv_id, a.turn as t1, b.turn as t2, sum(least(a.n, b.n)) as shared from n a join n b on a.conv_id = b.conv_id and a.word = b.word and a.turn < b.turn group by 1, 2, 3)
 select p.conv_id, cast(p.t1 as bigint) as pass_1, cast(p.t2 as bigint) as pass_2, cast(coalesce(m.shared, 0) as bigint) as shared, cast(p.larger as bigint) as larger from p left join m using (conv_id, t1, t2)""")
 def pass_agreement(spark, table):
-    words = table("conversations").filter("turn < 3").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pass_id"), F.explode(F.split("text", r"\s+")).alias("text"))
+    words = table("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pass_id"), F.explode(F.split("text", r"\s+")).alias("text"))
     found = evaluation.pass_agreement(words)
     return found.select(F.col("doc_id").alias("conv_id"), big("pass_1").alias("pass_1"), big("pass_2").alias("pass_2"), big("shared").alias("shared"), big("larger").alias("larger"))
 
@@ -595,19 +595,21 @@ def board(spark, table):
 
 
 @query("""
-select doc_id, text as repaired from documents where lang <> 'en' and text is not null""")
+select doc_id, text as repaired from documents""")
 def repaired_text(spark, table):
-    docs = table("documents").filter("lang <> 'en' and text is not null")
-    return docs.select("doc_id", heuristics.repaired_text(heuristics.misread_text(F.col("text"))).alias("repaired"))
+    return table("documents").select("doc_id", heuristics.repaired_text(heuristics.misread_text(F.col("text"))).alias("repaired"))
 
 
 def order_pages(table) -> DataFrame:
-    """A page of words for each order: base, tax (but for every seventh) and total, and for every fifth a tip that is no total."""
+    """A page of words for each order: base, tax and total, and for every fifth a tip that is no total.
+
+    Every fourteenth prints the rate without an amount, and the other seventh neither.
+    """
     m = minor("o_totalprice")
     eur = lambda c: F.concat(F.expr(f"cast({c} div 100 as string)"), F.lit(","), F.lpad(F.expr(f"cast({c} % 100 as string)"), 2, "0"))
     rows = table("orders").select(F.col("o_orderkey").alias("doc_id"), m.alias("b")).withColumn("t", F.expr("(b * 21 + 50) div 100")).withColumn("g", F.expr("b + t"))
     lines = F.array(
-        F.concat(F.lit("BASE "), eur("b")), F.when(F.expr("doc_id % 7 > 0"), F.concat(F.lit("IVA 21 % "), eur("t"))), F.concat(F.lit("TOTAL "), eur("g")),
+        F.concat(F.lit("BASE "), eur("b")), F.when(F.expr("doc_id % 7 > 0"), F.concat(F.lit("IVA 21 % "), eur("t"))).when(F.expr("doc_id % 14 = 0"), "IVA 21 %"), F.concat(F.lit("TOTAL "), eur("g")),
         F.when(F.expr("doc_id % 5 = 0"), F.lit("TOTAL propina 9,99")),
     )
     line = rows.select("doc_id", F.posexplode(lines).alias("k", "line")).filter("line is not null")
@@ -617,7 +619,8 @@ def order_pages(table) -> DataFrame:
 
 
 @query(f"""
-select o_orderkey as doc_id, case when o_orderkey % 7 > 0 then 'read' else 'derived' end as outcome, m + (m * 21 + 50) // 100 as gross, m as net, (m * 21 + 50) // 100 as tax, o_orderkey % 7 = 0 as needs_review
+select o_orderkey as doc_id, case when o_orderkey % 7 > 0 then 'read' when o_orderkey % 14 = 0 then 'derived' else 'single' end as outcome, m + (m * 21 + 50) // 100 as gross, m as net,
+  case when o_orderkey % 7 > 0 or o_orderkey % 14 = 0 then (m * 21 + 50) // 100 end as tax, o_orderkey % 7 = 0 as needs_review
 from (select o_orderkey, {_MINOR.format('o_totalprice')} as m from orders)""")
 def text_route(spark, table):
     found = extract.extract(order_pages(table), dims.terms(spark))
@@ -640,47 +643,6 @@ def history_stream(spark, table):
     return history.replay_stream(spark, f"{table.dir}/events.parquet", table("events").schema, _STATES)
 
 
-# The queries above that read a part of their tables, on all rows.
-
-
-@query(ORACLE_SQL["amount_triples"].replace(_OPERANDS, _ALL_OPERANDS))
-def amount_triples_whole(spark, table):
-    return solver.triples(all_operands(table))
-
-
-@query(ORACLE_SQL["breakdown_solve"].replace(_OPERANDS, _ALL_OPERANDS))
-def breakdown_solve_whole(spark, table):
-    return solver.solve(all_operands(table), dims.legal_rates(spark).filter("country = 'ES'"))
-
-
-@query(ORACLE_SQL["tax_slots"].replace(_OPERANDS, _ALL_OPERANDS))
-def tax_slots_whole(spark, table):
-    operands = all_operands(table)
-    rates = operands.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, (2100, 1000, 400)))).alias("rate_bp"))
-    return solver.tax_slots(operands, rates).withColumn("rate_bp", big("rate_bp"))
-
-
-@query(ORACLE_SQL["negative_context"].replace(" and doc_id % 3 = 0", ""))
-def negative_context_whole(spark, table):
-    words = order_words(table)
-    kept, gone = negative.split_by_context(words.filter("word_no % 2 = 1"), words.filter("word_no % 2 = 0"), ["doc_id"], radius=4000)
-    both = kept.withColumn("suppressed", F.lit(False)).unionByName(gone.withColumn("suppressed", F.lit(True)))
-    return both.select("doc_id", big("word_no").alias("word_no"), "suppressed")
-
-
-@query(ORACLE_SQL["pass_agreement"].replace(" where turn < 3", ""))
-def pass_agreement_whole(spark, table):
-    words = table("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pass_id"), F.explode(F.split("text", r"\s+")).alias("text"))
-    found = evaluation.pass_agreement(words)
-    return found.select(F.col("doc_id").alias("conv_id"), big("pass_1").alias("pass_1"), big("pass_2").alias("pass_2"), big("shared").alias("shared"), big("larger").alias("larger"))
-
-
-@query("""
-select doc_id, text as repaired from documents""")
-def repaired_text_whole(spark, table):
-    return table("documents").select("doc_id", heuristics.repaired_text(heuristics.misread_text(F.col("text"))).alias("repaired"))
-
-
 @query("""
 with e as (select *, event_id % 2 as half, cast(day(ts) as bigint) as d from events), s as (select * from e where event_type = 'purchase'), r as (select * from e where event_type = 'signup')
 select s.event_id, s.user_id, count(r.ts) as candidates, case count(r.ts) when 0 then 'create' when 1 then 'adopt' else 'ask' end as decision

@@ -62,7 +62,7 @@ def read_operands(words: DataFrame, term_rows: DataFrame, country: str = "ES", r
     figures = amount_words(each, F.lit(row["decimal"]), F.lit(dims.CURRENCY_DIGITS[row["currency"]]))
     labels = boxes.filter(F.col("kind").isin(*_ROLE))
     named = figures.withColumn("value", F.struct("value", "x0", "x1", "top", "bottom", F.col("line_no").alias("at_line")))
-    bound = binding.bind_labels(labels, named, PAGE, "label_id")
+    bound = binding.bind_labels(labels, named, lines, PAGE, "label_id")
     role = F.create_map(*[F.lit(x) for kv in _ROLE.items() for x in kv])[F.split_part("label_id", F.lit("|"), F.lit(1))]
     operands = bound.select(*PAGE, role.alias("role"), F.col("value.value").alias("minor"), "value.at_line", "value.x0", "value.x1", "value.top", "value.bottom").distinct()
     bad = boxes.filter("kind = 'negative'").select(*PAGE, F.col("line_no").alias("at_line"), "x0", "x1", "top", "bottom")
@@ -80,14 +80,15 @@ def extract(words: DataFrame, term_rows: DataFrame, route: str = "pdf-text", cou
     none, passes vote, and a role with readings but no majority leaves the breakdown unsolved.
     """
     operands, rates, _ = read_operands(words, term_rows, country)
-    legal = dims.legal_rates(words.sparkSession).filter(F.col("country") == country)
+    legal = dims.legal_rates(words.sparkSession)
+    admitted, _ = solver.gate_rates(rates.withColumn("country", F.lit(country)), legal)
     disputed = None
     if route != "pdf-text":
         said = operands.groupBy("doc_id", "pass_id", "role").agg(consensus.unanimous(F.col("minor")).alias("value")).filter("value is not null")
         voted = consensus.consensus(said, ["doc_id", "role"])
         disputed = voted.groupBy("doc_id").agg(F.bool_or(F.col("kind") == "none").alias("disputed"))
         operands = voted.filter("kind <> 'none'").select("doc_id", "role", F.col("value").alias("minor"))
-    solved = solver.solve(operands.select("doc_id", "role", "minor").distinct(), legal)
+    solved = solver.solve(operands.select("doc_id", "role", "minor").distinct(), admitted)
     docs = words.select("doc_id").distinct().join(solved, "doc_id", "left")
     if disputed is not None:
         docs = docs.join(disputed, "doc_id", "left").withColumn("outcome", F.when(F.coalesce("disputed", F.lit(False)), F.lit("disputed")).otherwise(F.col("outcome"))).drop("disputed")

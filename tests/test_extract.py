@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import dims
-from quillstone.operators import consensus, layout, negative, photo, records, solver, terms
+from quillstone.operators import binding, consensus, layout, negative, photo, records, solver, terms
 from quillstone.plans import extract
 from quillstone.sources import remote_table, words_json
 
@@ -88,10 +88,11 @@ def test_consensus(spark, votes, kind, value):
 
 
 def test_solver_plans_an_equality_join(spark):
-    ops = spark.createDataFrame([("a", "base", 1652), ("a", "tax", 347), ("a", "gross", 1999), ("b", "base", 1652), ("b", "tax", 347), ("b", "gross", 1998), ("c", "base", 10000), ("c", "tax", 2100)], "doc_id string, role string, minor long")
+    ops = spark.createDataFrame([("a", "base", 1652), ("a", "tax", 347), ("a", "gross", 1999), ("b", "base", 1652), ("b", "tax", 347), ("b", "gross", 1998), ("c", "base", 10000), ("c", "tax", 2100), ("d", "base", 10000), ("d", "tax", 2100)], "doc_id string, role string, minor long")
     assert [tuple(r) for r in solver.triples(ops).collect()] == [("a", 1652, 347, 1999)]
-    got = {r["doc_id"]: (r["outcome"], r["gross"]) for r in solver.solve(ops, dims.legal_rates(spark)).collect()}
-    assert got == {"a": ("read", 1999), "b": ("single", 1998), "c": ("derived", 12100)}
+    rates = spark.createDataFrame([("b", 2100), ("c", 2100), ("c", 2100), ("d", None)], "doc_id string, rate_bp int")
+    got = {r["doc_id"]: (r["outcome"], r["gross"]) for r in solver.solve(ops, rates).collect()}
+    assert got == {"a": ("read", 1999), "b": ("single", 1998), "c": ("derived", 12100), "d": ("single", None)}
     plan = solver.triples(ops)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
 
@@ -104,6 +105,27 @@ def test_photo_readers(spark):
     assert got[2]["gross"] == 5.0 and got[2]["via"] == "label" and got[3]["via"] is None and got[4]["gross"] == 12.1
 
 
+def test_photo_receipts_that_share_an_id_do_not_mix(spark):
+    rows = spark.createDataFrame([(1, "TOTAL 5,00"), (1, "BASE 1,00\nTOTAL 1.234,56"), (1, None)], "doc_id long, text string")
+    assert sorted((r["gross"] or 0, r["net"] or 0) for r in photo.read_receipts(rows, [2100]).collect()) == [(0, 0), (5.0, 0), (1234.56, 1.0)]
+
+
+def test_labels_bind_by_their_line(spark):
+    schema = "doc int, line_no int, x0 int, x1 int, top int, bottom int"
+    lines = spark.createDataFrame([(1, 0, 0, 100, 0, 10), (1, 1, 0, 300, 20, 30), (1, 2, 0, 100, 90, 99)], schema)
+    labels = spark.createDataFrame([("l", 1, 0, 50, 100, 0, 10)], "label_id string, " + schema)
+    values = spark.createDataFrame([(1, 0, 0, 40, 20, 30, 7), (1, 1, 0, 40, 20, 30, 1), (1, 1, 200, 300, 20, 30, 2), (1, 2, 60, 100, 90, 99, 3)], schema + ", value int")
+    # on the next line the value at 200 lies right of the label, and that at 0 ends left of it
+    assert [tuple(r) for r in binding.bind_labels(labels, values.filter("line_no > 0"), lines, ["doc"]).collect()] == [(1, "l", 2, False)]
+    assert binding.probe_labels(labels, values.filter("line_no = 1"), ["doc"]).collect() == []
+
+
+def test_equal_sends_stay_rows_of_their_own(spark):
+    sends = spark.createDataFrame([(1, "u", 100), (1, "u", 100)], "id int, user string, at int").withColumn("at", F.timestamp_seconds("at"))
+    made = spark.createDataFrame([("u", 90)], "user string, made int").withColumn("made", F.timestamp_seconds("made"))
+    assert [(r["candidates"], r["decision"]) for r in records.reconcile(sends, made, "user", "at", "made").collect()] == [(1, "adopt")] * 2
+
+
 def test_mappings_are_greedy_with_a_margin(spark):
     rows = [("t", "total", 0, "f1", 0, 0.9), ("t", "total", 0, "f2", 1, 0.88), ("t", "date", 1, "f3", 2, 1.0), ("t", "tax", 2, "f2", 1, 0.95)]
     df = spark.createDataFrame(rows, "t string, core_field string, core_no int, field_id string, field_no int, score double")
