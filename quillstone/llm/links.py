@@ -91,7 +91,7 @@ def shifts(starts: np.ndarray, ends: np.ndarray, own: np.ndarray, bi: np.ndarray
         s += 1
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node and component (its smallest reachable node) of every node that an edge (a, b) names.
 
     Alternates the large-star and small-star steps, each a minimum over neighbours with partial aggregation and a join
@@ -111,5 +111,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         low = cut(e.groupBy("u").agg(F.min("v").alias("m")))
         moved = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))
         e = cut(e.join(low, "u").select(moved.alias("x")).selectExpr("x.u", "x.v").filter("u <> v").distinct())
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     near = e.withColumnsRenamed({"u": "node", "v": "component"})
     return cut(near.unionByName(near.select(F.col("component").alias("node"), "component")).distinct())
