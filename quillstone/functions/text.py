@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .dims import FOLD_FROM, FOLD_TO
 
-#: A name that holds a term scores this much, if the term is at least MIN_SHARE of it.
+# A name that holds a term scores CONTAINED, if the term is at least MIN_SHARE of it.
 CONTAINED = 0.9
 MIN_SHARE = 0.5
 

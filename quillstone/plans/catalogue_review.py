@@ -32,7 +32,7 @@ select doc_id, cast(nth as bigint) as nth, raw, case when abs(v) < 1e12 then rou
   when contains(s, '.') then (case when length(split_part(s, '.', -1)) = 3 and length(split_part(s, '.', 1)) <= 3 then replace(s, '.', '') else s end)
   else s end as double) as v from t)""")
 def text_amounts(spark, table):
-    return lenient.found_amounts(table("documents"), "doc_id").select("doc_id", big("nth").alias("nth"), "raw", "value")
+    return lenient.found_amounts(table.spread("documents"), "doc_id").select("doc_id", big("nth").alias("nth"), "raw", "value")
 
 
 _RECEIPT = "'no name' || chr(10) || (case when o_orderkey % 3 = 0 then 'Casa ' || o_orderpriority || ' S.L.' else o_orderpriority end) || chr(10) || (case when o_orderkey % 2 = 0 then 'Factura N F-100' || cast(o_orderkey as string) else 'albaran' end) || chr(10) || (case when o_orderkey % 4 = 1 then '4555 **** ' || lpad(cast(o_orderkey % 10000 as string), 4, '0') else '' end)"
