@@ -6,6 +6,7 @@ POST and PUT of {fields}; base may be an http(s) address, or a folder with files
 
 from __future__ import annotations
 
+import itertools
 import json
 import urllib.request
 from collections.abc import Iterator
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PER_PAGE = 100
-MOST_PAGES = 200
 SCHEMA = "id string, fields map<string,string>, createdAt string, createdBy string, modifiedAt string, sequence bigint"
 
 
@@ -30,7 +30,7 @@ class RecordReader(DataSourceReader):
         self.base = options["path"]
         self.token = options.get("token", "")
         self.readers = int(options.get("readers", "4"))
-        self.most = int(options.get("mostPages", str(MOST_PAGES)))
+        self.most = int(options["mostPages"]) if "mostPages" in options else None
 
     def partitions(self) -> list[InputPartition]:
         return [Pages(k, self.readers) for k in range(self.readers)]
@@ -44,9 +44,11 @@ class RecordReader(DataSourceReader):
         return json.loads(file.read_text(encoding="utf-8")) if file.exists() else []
 
     def read(self, part: Pages) -> Iterator[tuple]:
-        """Every step-th page from its first on, up to a short one."""
-        for n in range(part.first, self.most, part.step):
+        """Every step-th page from its first on, up to a short one; a table of more than mostPages, if set, is an error."""
+        for n in itertools.count(part.first, part.step):
             rows = self.page(n)
+            if rows and self.most is not None and n >= self.most:
+                raise ValueError(f"the table has more than {self.most} pages")
             for r in rows:
                 fields = {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in (r.get("fields") or {}).items()}
                 yield str(r["id"]), fields, r.get("createdAt"), r.get("createdBy"), r.get("modifiedAt"), r.get("sequence")
