@@ -31,13 +31,14 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def in_blocks(df: DataFrame, keys: list[str], spread: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def in_blocks(df: DataFrame, keys: list[str], spread: str, block_rows: int = BLOCK_ROWS, held: bool = False) -> DataFrame:
     """Adds bi, bj, own: each row once for each pair of blocks of its group that it takes part in.
 
     Groups of one row go. A group of at most ``block_rows`` rows is one block (0, 0). A larger one is dealt by
     a hash of ``spread`` over count / block_rows blocks, and its rows come once for each block they meet.
+    ``df`` is read twice: cut first, unless ``held`` says that it comes cheaply from stored rows.
     """
-    df = cut(df)
+    df = df if held else cut(df)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("group_rows")).filter("group_rows > 1")
     sizes = cut(sizes)
     n = F.ceil(F.col("group_rows") / block_rows).cast("int")
