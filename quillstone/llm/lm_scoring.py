@@ -3,8 +3,9 @@
 Word counts over all training documents give the unigram base. The log-bilinear model predicts a target vector from
 the two tokens before it: score(w | a, b) = (q_a C1 + q_b C2) . r_w + bias_w, over the ``VOCABULARY`` most frequent
 tokens, the end of a text, and one token for all other words. It starts at the unigram distribution and learns, by
-noise-contrastive estimation in numpy, from every training token: each partition trains from the same start over its
-own documents, and the parameters are averaged by tokens seen.
+noise-contrastive estimation in numpy, from every training token, ``ROUNDS`` times: in a round each partition trains
+from the same parameters over its own documents, and the next round starts from their mean by tokens seen. A round
+brings less the more partitions share a given text, so scores depend somewhat on the number of partitions.
 
 Probabilities are normalised exactly: as the score is a sum of a term of each context token, the normalisers of all
 contexts are one matrix product, exp(S1) @ exp(S2 + bias)'. A word outside the vocabulary has the probability of "other"
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, slices, texts
 
-VOCABULARY = 1024
+VOCABULARY = 2048
 DIM = 24
 #: Bound of the broadcast counts; a word over 64 bytes is never among them.
 HEAD_WORDS = 300_000
 HEAD_BYTES = 64
 NOISE = 64
-BATCH = 4096
+BATCH = 512
+ROUNDS = 2
 RATE = 0.15
 SEED = 11
 END, OTHER = 0, 1
@@ -170,16 +172,33 @@ class Scorer:
         return ((self.s1[one, w] + self.s2[two, w] + self.bias[w] - self.log_z[one, two]) / np.float32(np.log(10))).astype(np.float64)
 
 
-def train_model(docs: DataFrame, index: dict[bytes, int], share: np.ndarray) -> LogBilinear:
-    """The model trained on all rows' texts: one pass, partitions averaged by their tokens."""
-    held = docs.sparkSession.sparkContext.broadcast((index, share))
+def train_model(docs: DataFrame, index: dict[bytes, int], share: np.ndarray, rounds: int = ROUNDS) -> LogBilinear:
+    """The model trained on all rows' texts; only its parameters come to the driver, once a round."""
+    model = LogBilinear(share)
+    for k in range(rounds):
+        held = docs.sparkSession.sparkContext.broadcast((index, share, model.flat()))
+        shards = cut(docs.select("text").mapInArrow(one_round(held, k), "seen long, params array<float>"))
+        place = shards.select("seen", F.posexplode("params").alias("at", "x"))
+        mean = place.groupBy("at").agg((F.sum(F.col("x").cast("double") * F.col("seen")) / F.sum("seen")).alias("x")).collect()
+        held.unpersist()
+        if not mean:
+            break
+        flat = np.zeros(len(mean), np.float64)
+        for r in mean:
+            flat[r["at"]] = r["x"]
+        model.load(flat)
+    return model
+
+
+def one_round(held, nth: int):
+    """A task function that trains on its texts from the broadcast parameters; gives tokens seen and new parameters."""
 
     def fit(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        index, share = held.value
-        trainer = Trainer(LogBilinear(share), SEED + TaskContext.get().partitionId())
+        index, share, flat = held.value
+        trainer = Trainer(LogBilinear(share).load(flat), SEED + 1_000_003 * nth + TaskContext.get().partitionId())
         for b in slices(batches, 1024):
             ids, ends = numbered(texts(b.column(0)), index)
             if len(ids):
@@ -190,16 +209,7 @@ def train_model(docs: DataFrame, index: dict[bytes, int], share: np.ndarray) ->
         if trainer.seen:
             yield pa.RecordBatch.from_arrays([pa.array([trainer.seen], pa.int64()), pa.array([trainer.m.flat()], pa.list_(pa.float32()))], ["seen", "params"])
 
-    shards = cut(docs.select("text").mapInArrow(fit, "seen long, params array<float>"))
-    place = shards.select("seen", F.posexplode("params").alias("at", "x"))
-    mean = place.groupBy("at").agg((F.sum(F.col("x").cast("double") * F.col("seen")) / F.sum("seen")).alias("x")).collect()
-    model = LogBilinear(share)
-    if mean:
-        flat = np.zeros(len(mean), np.float64)
-        for r in mean:
-            flat[r["at"]] = r["x"]
-        model.load(flat)
-    return model
+    return fit
 
 
 def numbered(data: list[bytes], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
