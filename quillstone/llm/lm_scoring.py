@@ -107,6 +107,12 @@ class LogBilinear:
             at += have.size
         return self
 
+    def scorer(self) -> Scorer:
+        """Its normalised scores, made once: a worker that keeps the broadcast model keeps them for all of its tasks."""
+        if not hasattr(self, "_scorer"):
+            self._scorer = Scorer(self)
+        return self._scorer
+
 
 class Trainer:
     """Noise-contrastive estimation by AdaGrad, a batch at a time; the noise words of a batch are shared by its tokens."""
@@ -114,6 +120,7 @@ class Trainer:
     def __init__(self, model: LogBilinear, seed: int):
         self.m, self.random = model, np.random.default_rng(seed)
         self.cdf = np.cumsum(model.noise, dtype=np.float64)
+        self.lift = np.log(NOISE * model.noise)
         self.sums = {n: np.full(getattr(model, n).shape, 1e-3, np.float32) for n in model.NAMES}
         self.seen = 0
 
@@ -127,7 +134,7 @@ class Trainer:
         z = np.minimum(np.searchsorted(self.cdf, self.random.random(NOISE) * self.cdf[-1]), len(self.cdf) - 1)
         qa, qb, rw, rz = m.q[a], m.q[b], m.r[w], m.r[z]
         h = qa @ m.c1 + qb @ m.c2
-        lift = np.log(NOISE * m.noise)
+        lift = self.lift
         up = (1 / (1 + np.exp(-np.clip((h * rw).sum(1) + m.bias[w] - lift[w], -30, 30))) - 1).astype(np.float32)
         down = (1 / (1 + np.exp(-np.clip(h @ rz.T + (m.bias[z] - lift[z]), -30, 30)))).astype(np.float32)
         n = np.float32(1 / len(w))
@@ -253,7 +260,7 @@ def score_documents(docs: DataFrame, training: DataFrame, vocabulary: int = VOCA
         from pyspark import TaskContext
 
         model, words, n, frequent = held.value
-        scorer = Scorer(model)
+        scorer = model.scorer()
         place = {w: k for k, w in enumerate(words)}
         log_c = np.r_[np.log10(n + 0.5), 0.0]
         nth = TaskContext.get().partitionId() << 40
