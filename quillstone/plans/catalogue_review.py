@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import amounts, dims, identifiers
 from quillstone.functions.text import supplier_normalised
-from quillstone.operators import country, entries, evaluation, heuristics, lenient, review
+from quillstone.operators import country, entries, evaluation, heuristics, lenient, photo, review
 from quillstone.plans.catalogue import _BOX, _MINOR, _WORDS_SQL, big, minor, order_words, query
+from quillstone.sources import files, image_header
 
 _M = _MINOR.format("l_extendedprice")
 _THOUSANDS, _HUNDREDS = f"cast(cast(floor({_M} / 100000) as bigint) as string)", f"lpad(cast(cast(floor({_M} / 100) as bigint) % 1000 as string), 3, '0')"
@@ -394,3 +395,47 @@ select o_orderkey, o_totalprice <> l.total as differs from orders join (select l
 def total_contrast(spark, table):
     formula = table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("formula"))
     return evaluation.contrast(table("orders"), formula, "o_orderkey", "o_totalprice", "formula")
+
+
+#: Figures of a line as receipts print them, in cents: net, and 21 % of it.
+_NET, _VAT = f"cast({_M} as bigint)", f"cast(floor(({_M} * 21 + 50) / 100) as bigint)"
+_PRINTED = "cast(cast(floor({0} / 100) as bigint) as string) || ',' || lpad(cast({0} % 100 as string), 2, '0')"
+
+
+def _receipts(table, text: str):
+    """Lines of orders with lines, the tokens of a receipt; n, v and g in ``text`` are net, tax and total as printed."""
+    rows = table("lineitem").select("l_orderkey", "l_linenumber", F.expr(_NET).alias("_n"), F.expr(_VAT).alias("_v")).withColumn("_g", F.expr("_n + _v"))
+    rows = rows.withColumns({c: F.expr(_PRINTED.format(f"_{c}")) for c in "nvg"})
+    return rows.select("l_orderkey", "l_linenumber", photo.tokens(F.expr(text)).alias("lines"))
+
+
+@query(f"""
+select l_orderkey, l_linenumber, case when k < 2 then n / 100.0 end::double as net, case when k < 2 then v / 100.0 end::double as vat, case k when 0 then (n + v) / 100.0 end::double as gross, case when k < 2 then 21.0 end::double as rate
+from (select l_orderkey, l_linenumber, l_linenumber % 4 as k, {_NET} as n, {_VAT} as v from lineitem)""")
+def percent_row(spark, table):
+    text = "case l_linenumber % 4 when 0 then 'IVA 33 % ' || n || chr(10) || '21 % ' || n || ' ' || v || ' ' || g when 1 then n || ' ' || v || ' 21,00%' when 2 then '21 % ' || n || ' ' || n else n || ' ' || v || ' ' || g end"
+    row = photo.percent_row(F.col("lines"), dims.COUNTRIES["ES"]["rates"])
+    return _receipts(table, text).select("l_orderkey", "l_linenumber", row.alias("r")).select("l_orderkey", "l_linenumber", *[F.col("r")[c].cast("double").alias(c) for c in ("net", "vat", "gross", "rate")])
+
+
+@query(f"""
+select l_orderkey, l_linenumber, case when k <> 2 then n / 100.0 end::double as net, case when k < 2 then v / 100.0 end::double as vat, case when k < 2 then 21.0 when k = 3 then 10.0 end::double as rate
+from (select l_orderkey, l_linenumber, l_linenumber % 4 as k, {_NET} as n, {_VAT} as v from lineitem)""")
+def header_table(spark, table):
+    text = "case l_linenumber % 4 when 0 then 'BASE TIPO CUOTA' || chr(10) || n || ' 21,00 X ' || v when 1 then 'IVA BASE % IVA TOTAL' || chr(10) || 'A B C 21,00 ' || n || ' ' || v when 2 then 'BASE IVA' || chr(10) || n || ' A B C D ' || v else 'BASE IVA' || chr(10) || n || ' 10,00' end"
+    found = photo.header_tables(_receipts(table, text), dims.COUNTRIES["ES"]["rates"])
+    return found.select("l_orderkey", "l_linenumber", *[F.col(f"t_{c}").cast("double").alias(c) for c in ("net", "vat", "rate")])
+
+
+@query("""
+select p_partkey, w as width, h as height, case when o between 1 and 8 then o end as orientation, case when o between 5 and 8 then h else w end as shown_width, case when o between 5 and 8 then w else h end as shown_height
+from (select p_partkey, cast(p_partkey % 60000 + 1 as int) as w, cast(p_size as int) as h, cast(p_partkey % 10 as int) as o from part)""")
+def image_sides(spark, table):
+    """JPEG headers made from parts (a fill byte, an EXIF segment of either byte order, a frame), read back."""
+    short = lambda c: f"lpad(hex(cast({c} as bigint)), 4, '0')"
+    tag = short("p_partkey % 10")
+    exif = f"case when p_partkey % 2 = 0 then '4D4D002A00000008' || '0001' || '0112' || '0003' || '00000001' || {tag} || '0000' else '49492A0008000000' || '0100' || '1201' || '0300' || '01000000' || substr({tag}, 3, 2) || substr({tag}, 1, 2) || '0000' end"
+    made = f"unhex('FFD8FF' || 'FFE1' || '001E' || '457869660000' || {exif} || 'FFC0' || '000B' || '08' || {short('p_size')} || {short('p_partkey % 60000 + 1')} || '01011100')"
+    read = image_header.with_header(table("part").select("p_partkey", F.expr(made).alias("content")))
+    shown = files.shown_size(F.col("orientation"), F.col("width"), F.col("height"))
+    return read.select("p_partkey", "width", "height", "orientation", shown["width"].alias("shown_width"), shown["height"].alias("shown_height"))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .image_header import with_header
+
 _EXTENSIONS = {"pdf": "application/pdf", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png"}
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, path, length, sha256, kind, width, height of every file under a folder; kind by its first bytes."""
+    """doc_id, path, length, sha256, kind, width, height, orientation of every file under a folder; kind by its first bytes, sides as stored."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.regexp_extract("path", "([^/]+)$", 1)
     kind = magic_kind(F.col("content"))
-    return files.select(
-        F.concat(F.lit("D"), F.substring(F.sha1(name.cast("binary")), 1, 8)).alias("doc_id"), "path", "length", F.sha2("content", 256).alias("sha256"), kind.alias("kind"),
-        F.when(kind == "png", png_side(F.col("content"), 17)).alias("width"), F.when(kind == "png", png_side(F.col("content"), 21)).alias("height"),
+    return with_header(files).select(
+        F.concat(F.lit("D"), F.substring(F.sha1(name.cast("binary")), 1, 8)).alias("doc_id"), "path", "length", F.sha2("content", 256).alias("sha256"), kind.alias("kind"), "width", "height", "orientation",
     )
 
 
@@ -25,10 +26,6 @@ def magic_kind(content: Column) -> Column:
     return F.when(head(5) == "255044462D", "pdf").when(head(8) == "89504E470D0A1A0A", "png").when(head(3) == "FFD8FF", "jpeg")
 
 
-def png_side(content: Column, at: int) -> Column:
-    return F.conv(F.hex(F.substring(content, at, 4)), 16, 10).try_cast("int")
-
-
 def media_type(declared: Column, name: Column) -> Column:
     """The declared type if it is known, else by extension, else null."""
     known = F.create_map(*[F.lit(x) for kv in _EXTENSIONS.items() for x in kv])
