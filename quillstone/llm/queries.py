@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, binary_codes, langid, lm_scoring, packing, secrets, sentence_pieces, simhash, suffix_dedup, warc
+from . import ann, binary_codes, conversations, langid, lm_scoring, merkle, packing, secrets, sentence_pieces, simhash, sql, suffix_dedup, warc
 from .common import hold, table
 
 
@@ -76,13 +76,29 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.reports(conversations.damaged(rows), rows)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaf = merkle.leaf("doc_id", "source", "lang", "n_chars", "text")
+    claimed = F.when(tampered, merkle.leaf("doc_id", "source", "lang", F.col("n_chars") + 1, "text"))
+    tree = merkle.manifest(docs.select("doc_id", "lang", leaf.alias("leaf"), F.unhex(claimed).alias("claimed")), "lang", "doc_id")
+    shown = tree.withColumn("folded_root", merkle.folded(F.coalesce(merkle.text_of("claimed"), F.col("leaf"))))
+    return shown.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_secret_scan, op3_warc_segments, op4_lm_scoring, op5_sentence_pieces,
         op6_permutation_index, op7_best_fit_packing, op8_binary_codes, op9_suffix_dedup, op10_simhash_near_dedup,
+        op12_conversation_repair, op13_merkle_manifest,
     )
 }
 
-#: None of these can be said in DuckDB's SQL: see the tests against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be said in DuckDB's SQL: see the tests against brute force.
+ORACLE_SQL: dict[str, str] = {"op12_conversation_repair": sql.CONVERSATIONS, "op13_merkle_manifest": sql.MERKLE}
