@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, binary_codes, conversations, langid, lm_scoring, merkle, packing, secrets, sentence_pieces, simhash, sql, suffix_dedup, warc
+from . import ann, binary_codes, conversations, langid, lm_scoring, merkle, packing, quality, secrets, sentence_pieces, simhash, sql, suffix_dedup, warc
 from .common import hold, table
 
 
@@ -76,6 +76,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = hold(docs, "doc_id", 5) == 0
+    model = quality.train(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversations.reports(conversations.damaged(rows), rows)
@@ -96,7 +104,7 @@ QUERIES = {
     for f in (
         op1_language_id, op2_secret_scan, op3_warc_segments, op4_lm_scoring, op5_sentence_pieces,
         op6_permutation_index, op7_best_fit_packing, op8_binary_codes, op9_suffix_dedup, op10_simhash_near_dedup,
-        op12_conversation_repair, op13_merkle_manifest,
+        op11_line_quality, op12_conversation_repair, op13_merkle_manifest,
     )
 }
 
