@@ -99,8 +99,16 @@ def wide(x: Column) -> Column:
 
 
 def tax_within_tolerance(base: Column, tax: Column, rate_bp: Column) -> Column:
-    """Whether a tax lies within one minor unit of base times rate, exactly."""
-    return F.abs(wide(tax) * 10000 - wide(base) * rate_bp.cast("decimal(5,0)")) <= 10000
+    """Whether a tax lies within one minor unit of base times rate, exactly.
+
+    The base is taken apart into ten thousands and a rest, so that every product fits a bigint; a tax that is far off is
+    cut to a distance that is too large as well.
+    """
+    base, tax, rate = (x.cast("bigint") for x in (base, tax, rate_bp))
+    rest = base % 10000
+    apart = tax - F.call_function("div", base, F.lit(10000)) * rate
+    near = F.greatest(F.least(apart, F.lit(100_000)), F.lit(-100_000))
+    return F.abs(near * 10000 - rest * rate) <= 10000
 
 
 def sums_to(base: Column, tax: Column, gross: Column) -> Column:
