@@ -77,20 +77,26 @@ class Block:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest by cosine among the other rows of ``vectors``.
 
-    Ties go to the smaller id; fewer than k others, fewer rows. Vectors that are null, zero or hold null or non-finite
-    components take no part, nor do null ids. Vectors must have one length. No rows: no rows.
+    Rows count, not ids: of rows that repeat a query's id and vector only one is its own, and a row of its id with another
+    vector is a row like any other; a query that is asked twice is answered twice. Ties go to the smaller id; fewer than k
+    others, fewer rows. Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids, nor
+    vectors of another length than most have (of equally common lengths, the larger). No rows: no rows.
     """
     spark = vectors.sparkSession
     have = cut(usable(vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v")), "v"))
-    # equal vectors are one entry with the k + 1 smallest ids, which is all that a list of k can show
+    common = have.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    have = have.filter(F.size("v") == (common["d"] if common else 0))
+    # equal vectors are one entry with the ids of the first k + 1 rows, which is all that a list of k can show
     same = Window.partitionBy("v").orderBy("id")
     few = have.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= k + 1)
-    entries = cut(few.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")))
-    asked = cut(usable(queries.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v")), "v"))
+    entries = cut(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    asked = usable(queries.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v")), "v")
+    asked = cut(asked.filter(F.size("v") == (common["d"] if common else 0)).withColumn("row", F.monotonically_increasing_id()))
     n, nq = entries.count(), asked.count()
-    schema = "query_id long, vec_id long, score double"
+    kind = vectors.schema[id_col].dataType.simpleString()
+    schema = f"row long, query_id {kind}, vec_id {kind}, score double"
     if not n or not nq:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     sample = unit(matrix(entries.orderBy(F.xxhash64("v")).limit(pivots).toPandas()["v"]))
     held = spark.sparkContext.broadcast(sample)
     blocks, query_blocks = -(-n // block_rows), -(-nq // query_rows)
@@ -102,27 +108,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         import pandas as pd
 
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}, dtype=object)
         pivots = held.value
         x, q = unit(matrix(left["v"])), unit(matrix(right["v"]))
         block = Block(orders(x, pivots, prefix), len(pivots))
         take = min(len(x), max(RERANK_LEAST, int(len(x) * rerank)))
-        query, vec, score = [], [], []
-        ids, own = left["ids"].tolist(), right["id"].tolist()
+        rows, query, vec, score = [], [], [], []
+        ids, own, row = left["ids"].tolist(), right["id"].tolist(), right["row"].tolist()
+        place = {v.tobytes(): k for k, v in enumerate(np.asarray(left["v"].tolist(), np.float64) + 0.0)}
+        self_at = [place.get(v.tobytes(), -1) for v in np.asarray(right["v"].tolist(), np.float64) + 0.0]
         for a, order in enumerate(orders(q, pivots, prefix)):
             far = block.footrule(order)
             best = np.argpartition(far, take - 1)[:take]
             s = x[best] @ q[a]
             low = np.sort(s)[-min(k + 1, len(s))]
             for c in np.flatnonzero(s >= low).tolist():
-                for i in ids[best[c]]:
-                    if i != own[a]:
-                        query.append(own[a])
-                        vec.append(i)
-                        score.append(s[c])
-        return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                others = list(ids[best[c]])
+                if best[c] == self_at[a] and own[a] in others:
+                    others.remove(own[a])
+                for i in others:
+                    rows.append(row[a])
+                    query.append(own[a])
+                    vec.append(i)
+                    score.append(s[c])
+        return pd.DataFrame({"row": rows, "query_id": query, "vec_id": vec, "score": score})
 
     found = index.groupBy("b", "q").cogroup(ask.groupBy("b", "q")).applyInPandas(search, schema)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -56,6 +56,12 @@ def hide(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
+def hide_but(docs: DataFrame, *kept: str) -> tuple[DataFrame, dict[str, str]]:
+    """The same for all columns but ``kept``, which keep their names."""
+    names = {c: c if c in kept else f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, slices, texts
+from .common import arrow_map, cut, hide_but, slices, texts
 
 VOCABULARY = 2048
 DIM = 24
@@ -237,7 +237,7 @@ def score_documents(docs: DataFrame, training: DataFrame, vocabulary: int = VOCA
     Null is the empty text, whose only token is its end. ``training`` has the texts to learn from (null: empty); without
     any, every token has probability 1. Equal texts score alike.
     """
-    docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs, shown = hide_but(docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score"), "text")
     names = [n for n in docs.columns if n != "text"]
     counts = cut(word_counts(training))
     sums = counts.agg(F.sum("n"), F.count("*")).first()
@@ -294,6 +294,6 @@ def score_documents(docs: DataFrame, training: DataFrame, vocabulary: int = VOCA
     end = float(np.log10(texts_n + 0.5))
     more = F.coalesce("_lm_more", F.lit(0.0))
     return found.join(added, "_lm_row", "left").select(
-        *names, F.col("_lm_tokens").alias("n_tokens"), (F.col("_lm_known") + F.coalesce("_lm_more_known", F.lit(0)) + F.lit(int(texts_n > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        *(F.col(v).alias(c) for c, v in shown.items() if c != "text"), F.col("_lm_tokens").alias("n_tokens"), (F.col("_lm_known") + F.coalesce("_lm_more_known", F.lit(0)) + F.lit(int(texts_n > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("_lm_head") + more + F.lit(end) - F.col("_lm_tokens") * F.lit(float(base))).alias("base_score"), (F.col("_lm_model") + more).alias("score"),
     )

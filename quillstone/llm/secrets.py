@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, hide_but
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -83,7 +83,8 @@ def find_secrets(docs: DataFrame, ranks: bytes, pattern: str, ratio: float = RAT
     """All columns of ``docs`` and ``secrets``: array<struct<kind, start, end>> of the whole text, by start and then kind.
 
     ``ranks`` is the content of a tiktoken rank file and ``pattern`` what splits text before its merges. Offsets count
-    code points, the end is exclusive. Null and empty texts have none ([]); equal rows get equal spans.
+    code points, the end is exclusive. Null and empty texts have none ([]); equal rows get equal spans. A column named
+    secrets is replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
 
@@ -145,7 +146,7 @@ def redact(found: DataFrame, mark: str = "[secret]") -> DataFrame:
 
 
 def without_secrets(docs: DataFrame, ranks: bytes, pattern: str, ratio: float = RATIO) -> DataFrame:
-    """``docs`` with the text redacted and its columns kept, one called secrets among them."""
-    named = {c: "_secrets" if c == "secrets" else c for c in docs.columns}
-    out = redact(find_secrets(docs.withColumnsRenamed({c: v for c, v in named.items() if c != v}), ranks, pattern, ratio))
-    return out.select(*(F.col(v).alias(c) for c, v in named.items()))
+    """``docs`` with the text redacted and its columns kept, whatever they are called."""
+    docs, names = hide_but(docs, "text", "n_chars")
+    out = redact(find_secrets(docs, ranks, pattern, ratio))
+    return out.select(*(F.col(v).alias(c) for c, v in names.items()))

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, texts
+from .common import arrow_map, cut, hide_but, texts
 from .links import BLOCK_ROWS, components, in_blocks, over_blocks, roots, shifts
 
 RADIUS = 3
@@ -211,6 +211,7 @@ def one_of_each(docs: DataFrame, words: int = 3, radius: int = RADIUS, seed: int
     Rows are told apart by all their columns, so rows that share a doc_id, or have none, stay if their texts differ.
     Rows equal in every column are one.
     """
+    docs, names = hide_but(docs, "doc_id", "text")
     keyed = docs.withColumn("_row", F.md5(F.to_json(F.struct(*docs.columns))))
     fps = cut(fingerprints(keyed, words, seed, ("_row",)))
     ranked = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
@@ -218,4 +219,4 @@ def one_of_each(docs: DataFrame, words: int = 3, radius: int = RADIUS, seed: int
     least = fps.groupBy("fp").agg(F.min(ranked).alias("least"))
     kept = least.join(linked(fps, radius, partitions).select("fp", "component"), "fp").groupBy("component").agg(F.min("least").alias("least"))
     kept = cut(kept.select("least._row"))
-    return keyed.dropDuplicates(["_row"]).join(kept, "_row", "left_semi").select(*docs.columns)
+    return keyed.dropDuplicates(["_row"]).join(kept, "_row", "left_semi").select(*(F.col(v).alias(c) for c, v in names.items()))
