@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +20,39 @@ def folded(x: Column) -> Column:
     return F.translate(F.lower(x), FOLD_FROM, FOLD_TO)
 
 
+#: Ranges of letters whose compatible forms are taken apart: Latin, ligatures, letterlike signs, full-width forms.
+_RANGES = ((0xA0, 0x250), (0x1E00, 0x1F00), (0x2070, 0x20A0), (0x2100, 0x2150), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
+
+
+@cache
+def _plain_forms() -> tuple[str, str, list[tuple[str, str]]]:
+    """What letters become without marks and case: one to one as two texts, and those that become several or none."""
+    one, many = {}, []
+    for low, high in _RANGES:
+        for c in map(chr, range(low, high)):
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+            if len(plain) == 1 and plain != c:
+                one[c] = plain
+            elif len(plain) != 1:
+                many.append((c, plain))
+    return "".join(one), "".join(one.values()), many
+
+
+def label_normalised(x: Column) -> Column:
+    """A word for comparing labels: compatible letters taken apart, without marks, case, and punctuation at either end.
+
+    A letter may become several, as ß, ﬁ or ½ do. The tables are made by rule from the Unicode database.
+    """
+    source, target, many = _plain_forms()
+    out = F.regexp_replace(F.translate(F.lower(F.translate(x, source, target)), source, target), r"\p{M}", "")
+    odd = "".join(c for c, _ in many)
+    wide = out
+    for c, plain in many:
+        wide = F.replace(wide, F.lit(c), F.lit(plain))
+    out = F.when(out.rlike(f"[{odd}]"), wide).otherwise(out)
+    return F.regexp_replace(out, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
 def supplier_normalised(x: Column) -> Column:
     """Trimmed, single-spaced, lower case; null for nothing. Accents stay."""
     return F.nullif(F.lower(F.regexp_replace(F.trim(x), r"\s+", " ")), F.lit(""))

@@ -16,9 +16,13 @@ def accepted_writes(writes: DataFrame, key: str, order: list[str], revision: str
 
 
 def latest(writes: DataFrame, key: str, order: list[str], revision: str = "revision") -> DataFrame:
-    """key and the stored entry of each: of the greatest revision the first that was written. Aggregated before it shuffles."""
-    first = F.struct(F.col(revision), *[-F.col(c) for c in order])
-    return writes.groupBy(key).agg(F.max_by(F.struct(*[c for c in writes.columns if c != key]), first).alias("e")).select(key, "e.*")
+    """key and the stored entry of each: of the greatest revision the first that was written, by ``order`` of any type.
+
+    Two minima and maxima with partial sums: the greatest revision, then the first of its writes. Null revisions are none.
+    """
+    most = writes.groupBy(F.col(key).alias("_k")).agg(F.max(revision).alias("_most"))
+    top = writes.join(most, F.col(key).eqNullSafe(F.col("_k")) & (F.col(revision) == F.col("_most"))).drop("_k", "_most")
+    return top.groupBy(key).agg(F.min_by(F.struct(*[c for c in writes.columns if c != key]), F.struct(*order)).alias("e")).select(key, "e.*")
 
 
 def journal(steps: DataFrame, key: str, order: list[str], step: str) -> DataFrame:
@@ -64,6 +68,18 @@ def page_text(rows: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     return rows.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, text))), lambda s: s[text]), "\n").alias(text))
 
 
+def best_of(rows: DataFrame, key: str, order: list[Column], value: str, most: int) -> DataFrame:
+    """key, best: the first ``most`` values of each key by ``order``; ranks stop there, so no group is gathered whole."""
+    w = Window.partitionBy(key).orderBy(*order)
+    top = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most)
+    return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda x: x[value]).alias("best"))
+
+
+def pages_of_both(reference: DataFrame, candidate: DataFrame, doc: str, page: str) -> DataFrame:
+    """doc, page of every page that either side has, once each."""
+    return reference.select(doc, page).unionByName(candidate.select(doc, page)).distinct()
+
+
 def stage_counts(trace: DataFrame, field: str = "field", stage: str = "stage") -> DataFrame:
     """field, stage, n: how often each stage was reached, with subtotals by field and in all."""
     return trace.rollup(field, stage).agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import word_normalised
@@ -39,15 +39,50 @@ def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 def segmentation(words: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """by, tokens, whitespace_share, median_length of words."""
-    return words.groupBy(*by).agg(F.count("*").alias("tokens"), F.avg(F.col(text).rlike(r"\s").cast("int")).alias("whitespace_share"), F.median(F.length(text)).alias("median_length"))
+    plain = words.groupBy(*by).agg(F.count("*").alias("tokens"), F.avg(F.col(text).rlike(r"\s").cast("int")).alias("whitespace_share"))
+    middle = median_of(words.withColumn("_length", F.length(text)), "_length", by).withColumnRenamed("median", "median_length")
+    return plain.join(middle, by, "left")
 
 
 def product_metrics(docs: DataFrame, touched: Column, green: Column, abstained: Column, taps: Column) -> DataFrame:
-    """documents, untouched, green, abstained (shares) and taps (median) over all documents, in one aggregation."""
+    """documents, untouched, green, abstained (shares) and taps (median) over all documents.
+
+    The shares are one aggregation. For the median values are counted first, and only each distinct value and its count
+    are sorted, so no task sees the documents.
+    """
     share = lambda c: F.avg(c.cast("int"))
-    return docs.agg(F.count("*").alias("documents"), share(~touched).alias("untouched"), share(green).alias("green"), share(abstained).alias("abstained"), F.median(taps).alias("taps"))
+    shares = docs.agg(F.count("*").alias("documents"), share(~touched).alias("untouched"), share(green).alias("green"), share(abstained).alias("abstained"))
+    return shares.join(median_of(docs.select(taps.alias("v")), "v").withColumnRenamed("median", "taps"), F.lit(True), "left")
+
+
+def median_of(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """by, median of the non-null values: the middle one of their counts added up in order, or the mean of the two middle ones."""
+    by = by or []
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by)
+    placed = counts.withColumn("_to", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
+    low, high = F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")
+    holds = lambda at: (F.col("_to") - F.col("_n") < at) & (at <= F.col("_to"))
+    middle = placed.filter(holds(low) | holds(high))
+    lowest, highest = F.min(value), F.max(value)
+    return middle.groupBy(*by).agg(((lowest.cast("double") + highest.cast("double")) / 2).alias("median"))
 
 
 def contrast(stored: DataFrame, formula: DataFrame, key: str, value: str, computed: str) -> DataFrame:
     """key, differs: whether a stored total differs from what the destination's formula made of it."""
     return stored.join(formula, key).select(key, (F.col(value) != F.col(computed)).alias("differs"))
+
+
+def probe_outcomes(occurrences: DataFrame, totals: DataFrame, doc: str, cents: str, confirmed: str) -> DataFrame:
+    """doc, outcome, occurrences, bound of a probe of total labels: ``occurrences`` has a row a label, with the cents it is bound to or null.
+
+    ``yes`` if a label is bound to the confirmed total, ``no`` if none is, ``no label found``, or ``not probed`` where no
+    total is confirmed.
+    """
+    known = totals.select(doc, confirmed)
+    met = occurrences.select(doc, F.col(cents).alias("_cents")).join(known, doc)
+    counted = met.groupBy(doc).agg(F.count("*").alias("_n"), F.count_if(F.col("_cents") == F.col(confirmed)).alias("_hit"))
+    rows = known.join(counted, doc, "left")
+    n, hit = (F.when(F.col(confirmed).isNotNull(), F.coalesce(c, F.lit(0))).otherwise(0) for c in ("_n", "_hit"))
+    outcome = F.when(F.col(confirmed).isNull(), "not probed").when(n == 0, "no label found").when(hit > 0, "yes").otherwise("no")
+    return rows.select(doc, outcome.alias("outcome"), n.alias("occurrences"), hit.alias("bound"))

@@ -24,7 +24,7 @@ def lookahead(lines: DataFrame, doc: str, order: str, label: Column, amount: Col
 def majority(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """keys, value, votes: the most frequent value of a group, the first seen of equals."""
     votes = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("votes"), F.min(order).alias("_first"))
-    top = F.max_by(F.struct(value, "votes"), F.struct("votes", -F.col("_first")))
+    top = F.min_by(F.struct(value, "votes"), F.struct(F.negative("votes"), "_first", value))
     return votes.groupBy(*keys).agg(top.alias("t")).select(*keys, "t.*")
 
 
@@ -52,7 +52,7 @@ def without_outliers(amounts: DataFrame, key: str, value: str, times: float = 50
 def best_pass(passes: DataFrame, key: str, pass_id: str, text: str) -> DataFrame:
     """key, pass_id, words: the pass with most words of three letters or more, the first of equals."""
     n = F.size(F.regexp_extract_all(text, F.lit(r"(\p{L}{3,})"), 1))
-    return passes.withColumn("words", n).groupBy(key).agg(F.max_by(F.struct(pass_id, "words"), F.struct("words", -F.col(pass_id))).alias("b")).select(key, "b.*")
+    return passes.withColumn("words", n).groupBy(key).agg(F.min_by(F.struct(pass_id, "words"), F.struct(F.negative("words"), pass_id)).alias("b")).select(key, "b.*")
 
 
 def scripted_send(attempts: DataFrame, key: str, order: str, status: str, most: int = 4) -> DataFrame:

@@ -39,6 +39,34 @@ def replay(events: DataFrame, key: str, order: list[str], to: str = "to_state")
     return done.select(key, "r.*")
 
 
+def replay_entries(steps: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """key, state, revision, record_id, reason, refused (array of struct(order, to_state, why, state)) of each document's steps
+    (key, order, to_state, record_id, reason) applied in order from ``pending``.
+
+    A step may bring a record id, which stays with the document, and a reason, which lasts until the next step. A step that
+    its state doesn't allow is refused as ``illegalTransition``, and one to ``sent`` of a document that has no record id as
+    ``sentWithoutRecord``: it changes nothing and stands in refused. Each step taken adds 1 to the revision, from 1 on.
+    """
+    kinds = {c: steps.schema[c].dataType.simpleString() for c in order}
+    refusal = f"array<struct<{', '.join(f'{c}:{t}' for c, t in kinds.items())}, to_state:string, why:string, state:string>>"
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit("pending").alias("state"), F.lit(1).alias("revision"), none.alias("record_id"), none.alias("reason"), F.array().cast(refusal).alias("refused"))
+
+    def step(a, e):
+        known = F.coalesce(e["record_id"], a["record_id"])
+        why = F.when(~allowed(a["state"], e["to_state"]), "illegalTransition").when((e["to_state"] == "sent") & known.isNull(), "sentWithoutRecord")
+        ok = why.isNull()
+        told = F.when(ok, a["refused"]).otherwise(F.array_append(a["refused"], F.struct(*[e[c].alias(c) for c in order], e["to_state"].alias("to_state"), why.alias("why"), a["state"].alias("state"))))
+        return F.struct(
+            F.when(ok, e["to_state"]).otherwise(a["state"]).alias("state"), (a["revision"] + ok.cast("int")).alias("revision"),
+            F.when(ok, known).otherwise(a["record_id"]).alias("record_id"), F.when(ok, e["reason"]).otherwise(a["reason"]).alias("reason"), told.alias("refused"),
+        )
+
+    own = F.array_sort(F.collect_list(F.struct(*order, "to_state", "record_id", "reason")))
+    done = steps.groupBy(key).agg(own.alias("_e")).withColumn("r", F.aggregate("_e", start, step))
+    return done.select(key, "r.*")
+
+
 def duplicates(entries: DataFrame, key: str, content: list[str], sent: Column, newest: list[Column]) -> DataFrame:
     """key, original, criterion: for each entry the newest sent other entry of equal hash, else of equal content.
 
@@ -82,9 +110,13 @@ def reconcile(sends: DataFrame, records: DataFrame, user: str, sent_at: str, cre
 
 
 def queue_prefix(queue: DataFrame, destination: str, order: list[str], stops: Column) -> DataFrame:
-    """Rows of each destination's queue up to and with the first that stops it, oldest first."""
-    w = Window.partitionBy(destination).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return queue.withColumn("_stopped", F.coalesce(F.sum(stops.cast("int")).over(w), F.lit(0))).filter("_stopped = 0").drop("_stopped")
+    """Rows of each destination's queue up to and with the first that stops it, oldest first.
+
+    The first stop is a minimum with partial sums, and rows meet it by equality: a queue of any length needs no sort.
+    """
+    stop = queue.filter(F.coalesce(stops, F.lit(False))).groupBy(F.col(destination).alias("_to")).agg(F.min(F.struct(*order)).alias("_stop"))
+    met = queue.join(stop, F.col(destination).eqNullSafe(F.col("_to")), "left")
+    return met.filter(F.col("_stop").isNull() | (F.struct(*order) <= F.col("_stop"))).drop("_to", "_stop")
 
 
 def retry_plan(state: Column, record_id: Column) -> Column:

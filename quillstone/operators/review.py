@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import amounts, dims
@@ -76,13 +76,45 @@ def may_discard(capture_id: Column) -> Column:
 
 
 def mapped(fields: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
-    """``fields`` with mapped: whether ``mapping`` has the key. Two joins that ask for existence alone."""
-    have = mapping.select(key)
-    yes, no = fields.join(have, key, "left_semi"), fields.join(have, key, "left_anti")
-    return yes.withColumn("mapped", F.lit(True)).unionByName(no.withColumn("mapped", F.lit(False)))
+    """``fields`` with mapped: whether ``mapping`` has the key. One join with the mapping's distinct keys."""
+    have = mapping.select(F.col(key).alias("_key")).distinct().withColumn("_have", F.lit(True))
+    met = fields.join(have, F.col(key) == F.col("_key"), "left")
+    return met.withColumn("mapped", F.coalesce("_have", F.lit(False))).drop("_key", "_have")
 
 
 def synonyms(fields: DataFrame, terms: DataFrame) -> DataFrame:
     """field, synonym: the label terms of a field's kind, or its own name where the kind has none."""
     found = fields.join(terms.select("kind", "term").distinct(), "kind", "left")
     return found.select("field", F.coalesce("term", "field").alias("synonym")).distinct()
+
+
+# What a reviewer does in a session.
+ACTIONS = ("edit", "unlock", "acknowledge", "reread")
+
+
+def session(actions: DataFrame, key: str, order: list[str], day: str) -> DataFrame:
+    """``actions`` (key, order, action, field, typed, parsed, colour) with accepted and acknowledged.
+
+    A green field takes an edit only after its lock was tapped in the session; a typed text that is refused (``parsed`` null)
+    changes nothing. The destination is acknowledged once a calendar day: a further tap on the same day is not accepted.
+    ``acknowledged`` tells whether the day of an action had its tap by then. What decides an action are the earlier
+    ones of its field or day, so these are windows over a document's field and a document's day.
+    """
+    by_field = Window.partitionBy(key, "field").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    by_day = Window.partitionBy(key, day).orderBy(*order)
+    unlocked = F.coalesce(F.bool_or(F.col("action") == "unlock").over(by_field), F.lit(False))
+    before = F.coalesce(F.bool_or(F.col("action") == "acknowledge").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    edits = F.col("parsed").isNotNull() & ((F.col("colour") != "green") | unlocked)
+    accepted = F.when(F.col("action") == "edit", edits).when(F.col("action") == "acknowledge", ~before).otherwise(F.lit(True))
+    return actions.withColumns({"accepted": F.coalesce(accepted, F.lit(False)), "acknowledged": before | (F.col("action") == "acknowledge")})
+
+
+def session_values(taken: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """key, field, state, value of what a session (as :func:`session` makes it) leaves: ``edited`` or ``present``.
+
+    The last accepted edit stays, whatever is read again before or after it; else the last second read that found a value.
+    """
+    of = lambda action, c: F.when((F.col("action") == action) & F.col("accepted") & F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("v")))
+    last = taken.groupBy(key, "field").agg(F.max(of("edit", "parsed")).alias("e"), F.max(of("reread", "typed")).alias("r"))
+    state = F.when(F.col("e").isNotNull(), "edited").when(F.col("r").isNotNull(), "present").otherwise("absent")
+    return last.select(key, "field", state.alias("state"), F.coalesce("e.v", "r.v").alias("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import amounts, dims, identifiers
 from quillstone.functions.text import supplier_normalised
 from quillstone.operators import country, entries, evaluation, heuristics, lenient, photo, review
+from quillstone.plans import fields
 from quillstone.plans.catalogue import _BOX, _MINOR, _WORDS_SQL, big, minor, order_words, query
 from quillstone.sources import files, image_header
 
@@ -365,7 +366,7 @@ def einvoice_xml(spark, table):
 @query("""
 select s_suppkey, substr(s_name || '/' || cast(s_nationkey as varchar), 1, length(s_name)) as label from supplier""")
 def route_base(spark, table):
-    return table("supplier").select("s_suppkey", F.substring_index(F.concat_ws("/", "s_name", F.col("s_nationkey").cast("string")), "/", 1).alias("label"))
+    return table("supplier").select("s_suppkey", fields.route_base(F.concat_ws("/", "s_name", F.col("s_nationkey").cast("string"))).alias("label"))
 
 
 @query("""
@@ -380,14 +381,14 @@ def match_order(spark, table):
 select doc_id, page from (select doc_id, n_chars % 3 as page from documents where n_chars is not null union select doc_id, doc_id % 4 from labels)""")
 def page_union(spark, table):
     a = table("documents").filter("n_chars is not null").select("doc_id", (F.col("n_chars") % 3).cast("bigint").alias("page"))
-    return a.unionByName(table("labels").select("doc_id", (F.col("doc_id") % 4).cast("bigint").alias("page"))).distinct()
+    return entries.pages_of_both(a, table("labels").select("doc_id", (F.col("doc_id") % 4).cast("bigint").alias("page")), "doc_id", "page")
 
 
 @query("""
 select l_orderkey, array_to_string(list(l_returnflag order by l_extendedprice desc, l_linenumber, l_returnflag)[1:3], ',') as best from lineitem group by 1""")
 def top_candidates(spark, table):
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("l_extendedprice")).alias("p"), "l_linenumber", "l_returnflag"))), 1, 3)
-    return table("lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(best, lambda x: x["l_returnflag"]), ",").alias("best"))
+    found = entries.best_of(table("lineitem"), "l_orderkey", [F.desc("l_extendedprice"), F.col("l_linenumber"), F.col("l_returnflag")], "l_returnflag", 3)
+    return found.select("l_orderkey", F.array_join("best", ",").alias("best"))
 
 
 @query("""

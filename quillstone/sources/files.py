@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
 from .image_header import with_header
@@ -40,6 +41,35 @@ def intake(files: DataFrame, path: str) -> DataFrame:
     return back.select("path", "sha256", stored.alias("stored_sha256"), (stored == F.col("sha256")).alias("ok"))
 
 
+def intake_stream(spark: SparkSession, inbox: str, store: str, checkpoint: str) -> StreamingQuery:
+    """Takes new files of a folder into ``store`` as a stream: path, name, length, sha256, content; each content once.
+
+    Only files that are new are read and hashed. What a batch has stored is read back and hashed again before the batch
+    counts as done; where it differs the batch fails, its rows go with it, and it is taken again. A content that the
+    store has is left out, so a batch that runs twice, or a file that comes twice, is there once.
+    """
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(inbox)
+
+    def take(batch: DataFrame, n: int) -> None:
+        new = batch.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"), "content")
+        first = new.groupBy("sha256").agg(F.min("path").alias("path"))
+        new = new.join(first, ["sha256", "path"], "left_semi")
+        session = batch.sparkSession
+        # a batch writes a folder of its own; what an earlier try of it left is replaced
+        have = session.read.schema("sha256 string, batch bigint").parquet(store) if n else None
+        if have is not None:
+            new = new.join(have.filter(F.col("batch") < n), "sha256", "left_anti")
+        where = f"{store}/batch={n}"
+        new.write.mode("overwrite").parquet(where)
+        back = session.read.parquet(where)
+        if back.filter(~F.sha2("content", 256).eqNullSafe(F.col("sha256"))).limit(1).count():
+            session.createDataFrame([], back.schema).write.mode("overwrite").parquet(where)
+            raise ValueError(f"what batch {n} stored isn't what it took")
+
+    return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
+
+
 def shown_size(orientation: Column, width: Column, height: Column) -> Column:
     """struct(width, height) as displayed: orientations 5 to 8 swap the sides."""
     turned = F.coalesce(orientation.between(5, 8), F.lit(False))
