@@ -75,6 +75,11 @@ def best_of(rows: DataFrame, key: str, order: list[Column], value: str, most: in
     return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda x: x[value]).alias("best"))
 
 
+def ordered_pages(pages: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
+    """keys, pages: a pass's pages in the order of their index, ties by value; a pass is bounded by its document."""
+    return pages.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(index, value))), lambda p: p[value]).alias("pages"))
+
+
 def pages_of_both(reference: DataFrame, candidate: DataFrame, doc: str, page: str) -> DataFrame:
     """doc, page of every page that either side has, once each."""
     return reference.select(doc, page).unionByName(candidate.select(doc, page)).distinct()

@@ -86,3 +86,22 @@ def probe_outcomes(occurrences: DataFrame, totals: DataFrame, doc: str, cents: s
     n, hit = (F.when(F.col(confirmed).isNotNull(), F.coalesce(c, F.lit(0))).otherwise(0) for c in ("_n", "_hit"))
     outcome = F.when(F.col(confirmed).isNull(), "not probed").when(n == 0, "no label found").when(hit > 0, "yes").otherwise("no")
     return rows.select(doc, outcome.alias("outcome"), n.alias("occurrences"), hit.alias("bound"))
+
+
+def page_sizes(pages: DataFrame, by: list[str], width: str = "width", height: str = "height") -> DataFrame:
+    """by, sizes: how many different page sizes there are."""
+    return pages.groupBy(*by).agg(F.count_distinct(F.struct(width, height)).alias("sizes"))
+
+
+def seconds_each(events: DataFrame, doc: str, at: str) -> DataFrame:
+    """doc, seconds from a document's first event to its last."""
+    return events.groupBy(doc).agg((F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))).alias("_micros")).select(doc, (F.col("_micros") / 1_000_000).alias("seconds"))
+
+
+def report_lines(stats: DataFrame, order: list[str]) -> DataFrame:
+    """line_no, line: a small table of aggregates as a Markdown table, numbers with two decimals, rows by ``order``, nulls first."""
+    cells = [F.coalesce(F.format_string("%.2f", F.col(n)) if t == "double" else F.col(n).cast("string"), F.lit("")) for n, t in stats.dtypes]
+    line = lambda parts: F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |"))
+    rows = stats.select((F.row_number().over(Window.orderBy(*order)) + 2).cast("bigint").alias("line_no"), line(cells).alias("line"))
+    head = stats.sparkSession.createDataFrame([(1, f"| {' | '.join(stats.columns)} |"), (2, f"| {' | '.join('---' for _ in stats.columns)} |")], "line_no bigint, line string")
+    return head.unionByName(rows)

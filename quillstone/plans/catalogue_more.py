@@ -9,11 +9,13 @@ from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
-from quillstone.functions import amounts
+from quillstone.functions import amounts, dims
 from quillstone.functions.text import label_normalised
-from quillstone.operators import adjudicate, einvoices, evaluation, lenient, solver
+from quillstone.operators import adjudicate, einvoices, entries, evaluation, lenient, loading, solver
+from quillstone.plans import record
 from quillstone.plans.catalogue import _MINOR, big, minor, query
-from quillstone.plans.catalogue_record import _CENTS, _amounts, _eur
+from quillstone.plans.catalogue_record import _CENTS, _amounts, _eur, invoice_pages
+from quillstone.sources import files, settings
 from quillstone.sources.remote_service import RemoteTable
 from quillstone.sources.shared import shared_dir
 
@@ -154,3 +156,83 @@ def remote_round_trip(spark, table):
         sent.option("report", f"{base}/reports/{run}").save(str(base))
     back = spark.read.format("remote_table").option("table", "suppliers").load(str(base))
     return back.select(F.col("Number").alias("number"), F.col("Name").alias("name"), F.col("Balance").cast("double").alias("balance"))
+
+
+@query(f"""
+with o as ({_CENTS}), r as (select *, k % 13 = 0 or k % 11 > 0 as es from o)
+select k as doc_id, case when k % 29 = 0 then null else 'EUR' end as currency, g as gross, b as net, t as tax, case when k % 19 > 0 then 'read' else 'derived' end as outcome,
+  '2100:' || case when k % 19 = 0 then '-:-' else b || ':' || t end as slots, cast(0 as bigint) as discarded, cast(k % 23 = 0 as bigint) as suppressed from r""")
+def amounts_facade(spark, table):
+    """The amounts of each order's invoice alone, as of one Spanish pass."""
+    found = record.solve_amounts(invoice_pages(table), dims.terms(spark), "ES")
+    slots = F.array_join(F.transform("slots", lambda s: F.concat_ws(":", *[F.coalesce(s[c].cast("string"), F.lit("-")) for c in ("minor", "base", "tax")])), "|")
+    return found.select("doc_id", "currency", "gross", "net", "tax", "outcome", slots.alias("slots"), big("discarded").alias("discarded"), big("suppressed").alias("suppressed"))
+
+
+@query("""
+select conv_id, string_agg(coalesce(role, ''), '>' order by turn nulls first, coalesce(role, '')) as pages from conversations group by 1""")
+def pages_ordered(spark, table):
+    """A pass's pages in the order of their index."""
+    rows = table("conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"))
+    return entries.ordered_pages(rows, ["conv_id"], "turn", "role").select("conv_id", F.array_join("pages", ">").alias("pages"))
+
+
+@query("""
+select coalesce(a.doc_id, b.doc_id) as doc_id, case when b.doc_id is null then 'gone' when a.doc_id is null then 'new' when a.h is not distinct from b.h then 'unchanged' else 'changed' end as state
+from (select doc_id, sha256(text) as h from documents where doc_id % 7 > 0) a full join (select doc_id, sha256(case when doc_id % 10 = 0 then text || '.' else text end) as h from documents where doc_id % 5 > 0) b using (doc_id)""")
+def hash_unchanged(spark, table):
+    """Texts hashed twice: every tenth has changed in between, every seventh is new and every fifth gone."""
+    docs = table("documents")
+    before = docs.filter("doc_id % 7 > 0").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    after = docs.filter("doc_id % 5 > 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("sha256"))
+    return files.unchanged(before, after, "doc_id")
+
+
+@query("""
+with s as (select source, lang, count(*) as documents, cast(floor(avg(n_chars)) as bigint) as mean from documents group by 1, 2)
+select cast(1 as bigint) as line_no, '| source | lang | documents | mean |' as line union all select 2, '| --- | --- | --- | --- |'
+union all select row_number() over (order by source nulls first, lang nulls first) + 2, '| ' || coalesce(source, '') || ' | ' || coalesce(lang, '') || ' | ' || documents || ' | ' || coalesce(mean, 0) || ' |' from s""")
+def report_rows(spark, table):
+    """A report of aggregates by source and language as lines of a table."""
+    stats = table("documents").groupBy("source", "lang").agg(F.count("*").alias("documents"), F.coalesce(F.floor(F.avg("n_chars")), F.lit(0)).cast("bigint").alias("mean"))
+    return evaluation.report_lines(stats, ["source", "lang"])
+
+
+_READ = "case when k % 4 in (0, 1) then b / 100.0::double end as net, case when k % 4 = 0 then t / 100.0::double end as tax, case when k % 4 < 3 then g / 100.0::double end as gross, case when k % 4 = 2 and k % 8 = 2 then 21.0::double end as rate, k % 16 = 2 as untaxed"
+
+
+@query(f"""
+with o as ({_CENTS}), r as (select k, day, {_READ} from o), b as (select *, coalesce(net, case when rate > 0 then round(gross / (1 + rate / 100), 2) end) as base from r)
+select k as o_orderkey, case when year(day) >= 2000 then day when k % 3 = 0 then date '2024-05-06' end as day, case when untaxed then coalesce(gross, 0) when base is not null then base else coalesce(gross, 0) end as base,
+  case when untaxed then 0 when base is not null then coalesce(tax, round(gross - base, 2)) else 0 end as tax from b""")
+def loaded_fields(spark, table):
+    """What a loader writes of loosely read documents: a plausible date, else that of the file's name, and base and tax."""
+    k = F.col("k")
+    euros = lambda c: F.col(c) / F.lit(100.0)
+    rows = _amounts(table).select("k", "day", F.when(k % 4 < 2, euros("b")).alias("net"), F.when(k % 4 == 0, euros("t")).alias("tax"), F.when(k % 4 < 3, euros("g")).alias("gross"), F.when(k % 8 == 2, 21.0).alias("rate"), (k % 16 == 2).alias("untaxed"))
+    name = F.when(k % 3 == 0, "scan 06.05.2024.pdf").otherwise("scan.pdf")
+    said = loading.decide_amounts(*[F.col(c) for c in ("net", "tax", "gross", "rate", "untaxed")])
+    return rows.select(k.alias("o_orderkey"), loading.decide_day(F.col("day"), name, names_count=True).alias("day"), said.alias("s")).select("o_orderkey", "day", "s.base", "s.tax")
+
+
+@query("""
+select c_custkey, case when c_custkey % 3 > 0 then c_custkey * 10 end as record, n_name as place, coalesce(f.files, '') as files
+from customer left join nation on n_nationkey = c_nationkey and c_custkey % 3 > 0 left join (select o_custkey, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as files from orders group by 1) f on f.o_custkey = c_custkey and c_custkey % 3 > 0""")
+def log_rebuilt(spark, table):
+    """A log of documents with their records by an explicit map, what the records hold, and the files attached to them."""
+    customer = table("customer").select("c_custkey", "c_nationkey")
+    keys = customer.filter("c_custkey % 3 > 0").select("c_custkey", (F.col("c_custkey") * 10).alias("record"))
+    held = customer.join(table("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select((F.col("c_custkey") * 10).alias("record"), F.col("n_name").alias("place"))
+    attached = table("orders").select((F.col("o_custkey") * 10).alias("record"), F.col("o_orderpriority").alias("name"))
+    found = loading.rebuilt_log(customer.select("c_custkey"), keys, held, attached, "c_custkey", "record", "name")
+    return found.select("c_custkey", "record", "place", F.array_join("files", ",").alias("files"))
+
+
+_JSON = "case event_id % 6 when 0 then '{\"a\": {\"id\": ' || event_id || '}}' when 1 then '{\"a\": {\"id\": \"x' || event_id || '\"}}' when 2 then '{\"a\": {\"id\": [1]}}' when 3 then '{\"a\": {}}' when 4 then '{\"a\"' else '{\"a\": {\"id\": null}}' end"
+
+
+@query(f"""
+select event_id, case event_id % 6 when 0 then cast(event_id as varchar) when 1 then 'x' || event_id end as value, case event_id % 6 when 2 then 'notAnIdentifier' when 3 then 'missing' when 4 then 'notJson' when 5 then 'missing' end as refusal from events""")
+def typed_json(spark, table):
+    """Identifiers of JSON texts, strings or whole numbers, with why one is refused."""
+    return table("events").select("event_id", F.expr(_JSON.replace('\\"', '"')).alias("t")).select("event_id", settings.typed(F.col("t"), "$.a.id", "identifier").alias("r")).select("event_id", "r.*")

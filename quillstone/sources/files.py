@@ -70,6 +70,12 @@ def intake_stream(spark: SparkSession, inbox: str, store: str, checkpoint: str)
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
 
 
+def unchanged(before: DataFrame, after: DataFrame, key: str, digest: str = "sha256") -> DataFrame:
+    """key, state of files hashed twice: ``unchanged``, ``changed``, ``gone`` or ``new``."""
+    met = before.select(key, F.col(digest).alias("_was"), F.lit(True).alias("_had")).join(after.select(key, F.col(digest).alias("_is"), F.lit(True).alias("_has")), key, "full")
+    return met.select(key, F.when(F.col("_has").isNull(), "gone").when(F.col("_had").isNull(), "new").when(F.col("_was").eqNullSafe(F.col("_is")), "unchanged").otherwise("changed").alias("state"))
+
+
 def shown_size(orientation: Column, width: Column, height: Column) -> Column:
     """struct(width, height) as displayed: orientations 5 to 8 swap the sides."""
     turned = F.coalesce(orientation.between(5, 8), F.lit(False))

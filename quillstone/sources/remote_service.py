@@ -28,8 +28,8 @@ PER_PAGE = 100
 ID = "_id"
 # Types that a service's fields have, and what they are here; any other is text.
 TYPES = {"string": StringType(), "number": DecimalType(38, 6), "date": DateType()}
-#: What became of a row: sent; uncertain, as no answer with an id came; or incomplete, as its file isn't there as it was sent.
-SENT, UNCERTAIN, INCOMPLETE = "sent", "uncertain", "incomplete"
+#: What became of a row: sent; uncertain, as no answer with an id came; incomplete, as its file isn't there as it was sent; gone, as the record to be changed isn't there.
+SENT, UNCERTAIN, INCOMPLETE, GONE = "sent", "uncertain", "incomplete", "gone"
 
 
 class Lost(Exception):
@@ -68,6 +68,17 @@ class Folder:
             part.unlink()
         return name
 
+    def update(self, table: str, record: str, fields: dict) -> bool:
+        """The sent fields over those that are there; whether the record is there at all."""
+        have = self.record(table, record)
+        if have is None or str(have["id"]) != record:
+            return False
+        where = self.base / table / "records" / f"{record}.json"
+        part = where.with_name(f".{record}.{uuid.uuid4().hex}")
+        part.write_text(json.dumps({**have, "fields": (have.get("fields") or {}) | fields}, ensure_ascii=False), encoding="utf-8")
+        part.replace(where)
+        return True
+
     def attach(self, table: str, record: str, name: str, kind: str, content: bytes) -> None:
         where = self.base / table / "files" / record
         where.mkdir(parents=True, exist_ok=True)
@@ -119,6 +130,16 @@ class Http:
             raise Lost("an answer without an id")
         return str(got["id"])
 
+    def update(self, table: str, record: str, fields: dict) -> bool:
+        ask = urllib.request.Request(f"{self.base}/{urllib.parse.quote(table)}/records/{urllib.parse.quote(record, safe='')}", data=json.dumps({"fields": fields}).encode(), headers={"Authorization": f"Bearer {self.token}", "Content-Type": "application/json"}, method="PUT")
+        try:
+            with urllib.request.urlopen(ask, timeout=30):
+                return True
+        except urllib.error.HTTPError as e:
+            if e.code == 404:
+                return False
+            raise
+
     def attach(self, table: str, record: str, name: str, kind: str, content: bytes) -> None:
         self._ask(f"{urllib.parse.quote(table)}/records/{record}/files?name={urllib.parse.quote(name)}", content, {"Content-Type": kind})
 
@@ -197,6 +218,7 @@ class TableWriter(DataSourceWriter):
     """Sends each row as a record, once, however often its task runs: the record's key is the row's own.
 
     ``key`` names the column that identifies a row; ``fields`` is JSON, columns to remote names, and nothing else is written.
+    With ``update`` the key is a record's id, and the mapped columns that aren't null are laid over its fields, others stay.
     ``file``, if set, names three columns: name, type and content of a file to attach, which is listed again and compared.
     Outcomes lie in reports by task under ``report``; the commit lists those of the tasks that count, and an aborted write
     leaves none that do, while its records stay and are found again by the next.
@@ -230,6 +252,8 @@ class TableWriter(DataSourceWriter):
 
     def _send(self, remote, key: str, fields: dict, row) -> tuple[str, str | None]:
         table = self.options["table"]
+        if self.options.get("update", "false") == "true":
+            return (SENT, key) if remote.update(table, key, fields) else (GONE, None)
         try:
             record = remote.create(table, key, fields)
         except Lost:

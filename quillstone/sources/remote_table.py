@@ -83,6 +83,11 @@ def merged(stored: DataFrame, sent: DataFrame) -> DataFrame:
     return both.select("id", F.when(F.col("sent").isNull(), F.col("fields")).otherwise(F.map_concat(kept, "sent")).alias("fields"))
 
 
+def database_link(base, team, database):
+    """Address of a database, with every part encoded."""
+    return F.concat_ws("/", base, *[F.url_encode(p) for p in (team, database)])
+
+
 def record_link(base, team, database, table, record):
     """Address of a record, with every part encoded."""
     return F.concat_ws("/", base, *[F.url_encode(p) for p in (team, database, table, record)])
