@@ -24,7 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ddl, forget, hide, parts, stash, texts
+from .common import arrow_map as _arrow_map
+from .common import ddl, forget, give_back, hide, parts, stash, texts
 from .suffix_sort import equal_classes
 
 LENGTH = 400
@@ -32,18 +33,24 @@ GRAM = 32
 #: A passage: so many whole words within bytes that all lie in repeated strings of PASSAGE_BYTES.
 PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
 #: Strings that one call sorts, but for an anchor that has more.
-BATCH_STRINGS = 1 << 18
+BATCH_STRINGS = 1 << 17
 #: Distinct records of an anchor that one task sorts; beyond it, slices.
 GROUP_RECORDS = 512
 #: Strings of a slice.
 SLICE = 16
 _PLACE = 24
 _KEY = ("doc", "text_hash")
+#: Texts that a task holds at a time; workers give memory back between tasks.
+TASK_ROWS = 64
 _STEP = 1 << 22
 
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)]
 
 
+def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
+    return _arrow_map(df, make, schema, TASK_ROWS, lean=True)
+
+
 def anchors(text: np.ndarray, length: int, gram: int) -> np.ndarray:
     """For each string start the place of its anchor gram. text: at least ``length`` bytes, under 2**24."""
     h = (text.astype(np.uint64) + np.uint64(1)) * _MIX[0]
@@ -102,6 +109,8 @@ def _sorted_marks(rows: DataFrame, length: int, key: tuple[str, ...]) -> DataFra
             rest = pdf.iloc[done:].reset_index(drop=True)
         if rest is not None and len(rest):
             yield sort(rest)
+        rest = None
+        give_back()
 
     def sort(pdf):
         import pandas as pd
