@@ -470,12 +470,15 @@ _STATES = list(records.TRANSITIONS)
 _ALLOWED = " or ".join(f"(s = '{a}' and t in ({', '.join(repr(x) for x in b)}))" for a, b in records.TRANSITIONS.items())
 
 
-@query(f"""
+_STATE_REPLAY = f"""
 with recursive e as (select user_id, ({_STATES})[cast(event_id % 8 as int) + 1] as t, row_number() over (partition by user_id order by ts, event_id) as n from events),
 r as (select user_id, 0 as n, 'pending' as s, 1 as revision, 0 as refused from (select distinct user_id from events)
   union all select r.user_id, e.n, case when ok then e.t else r.s end, r.revision + (case when ok then 1 else 0 end), r.refused + (case when ok then 0 else 1 end)
   from r join e on e.user_id = r.user_id and e.n = r.n + 1, lateral (select {_ALLOWED} as ok from (select r.s as s, e.t as t)) q)
-select user_id, arg_max(s, n) as state, cast(max(revision) as bigint) as revision, cast(max(refused) as bigint) as refused from r group by 1""")
+select user_id, arg_max(s, n) as state, cast(max(revision) as bigint) as revision, cast(max(refused) as bigint) as refused from r group by 1"""
+
+
+@query(_STATE_REPLAY)
 def state_replay(spark, table):
     to = F.element_at(F.array(*map(F.lit, _STATES)), (F.col("event_id") % 8 + 1).cast("int"))
     found = records.replay(table("events").select("user_id", "ts", "event_id", to.alias("to_state")), "user_id", ["ts", "event_id"])
@@ -632,7 +635,9 @@ def text_route(spark, table):
     return found.select("doc_id", "outcome", "gross", "net", "tax", "needs_review")
 
 
-@query()
+@query(f"""
+with o as (select o_orderkey, cast(o_orderdate as date) as d, {_MINOR.format('o_totalprice')} as m from orders)
+select o_orderkey as doc_id, case when year(d) >= 2000 then d end as date, m / 100.0::double as net, (m * 21 + 50) // 100 / 100.0::double as vat, (m + (m * 21 + 50) // 100) / 100.0::double as gross, 21.0::double as rate, 'arithmetic' as via from o""")
 def photo_read(spark, table):
     """Receipts printed from orders, read by labels and by arithmetic; see the tests for a plain equivalent."""
     m = minor("o_totalprice")
@@ -642,7 +647,7 @@ def photo_read(spark, table):
     return photo.read_receipts(rows.select(F.col("o_orderkey").alias("doc_id"), text_.alias("text")), dims.COUNTRIES["ES"]["rates"])
 
 
-@query()
+@query(_STATE_REPLAY)
 def history_stream(spark, table):
     """The last state of each user's document, from events read as a stream; equals state_replay where events arrive in order."""
     return history.replay_stream(spark, f"{table.dir}/events.parquet", table("events").schema, _STATES)
