@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import name_normalised, similarity
+
 # The transitions a document may make.
 TRANSITIONS = {
     "pending": ["extracting", "failed"],
@@ -133,6 +135,17 @@ def failure_of_status(status: Column) -> Column:
     return F.when(status.between(200, 299), None).when(status.isin(401, 403), "auth").when(status == 404, "gone").when(status == 429, "throttled").when(status >= 500, "server").otherwise("other")
 
 
+def typed_matches(core: DataFrame, columns: DataFrame, least: float = 0.0) -> DataFrame:
+    """core_field, core_no, field_id, field_no, score: core fields (kind, core_field, core_no, synonyms) and a table's columns
+    (kind, field_id, field_no, name) of the same kind, by the best similarity of the name to a synonym.
+
+    The kind is an equality of the join and decides before any name is looked at.
+    """
+    met = core.join(columns, "kind").withColumn("_name", name_normalised(F.col("name")))
+    score = F.array_max(F.transform("synonyms", lambda s: similarity(F.col("_name"), name_normalised(s))))
+    return met.select("core_field", "core_no", "field_id", "field_no", F.coalesce(score, F.lit(0.0)).alias("score")).filter(F.col("score") >= least)
+
+
 def propose_mappings(scored: DataFrame, table: str, threshold: float = 0.85, margin: float = 0.05) -> DataFrame:
     """table, core_field, field_id: greedy one-to-one proposals from ``scored`` (table, core_field, core_no, field_id, field_no, score).
 

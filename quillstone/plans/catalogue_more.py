@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import amounts, dims
 from quillstone.functions.text import label_normalised
-from quillstone.operators import adjudicate, einvoices, entries, evaluation, lenient, loading, solver
+from quillstone.operators import adjudicate, einvoices, entries, evaluation, lenient, loading, records, solver
 from quillstone.plans import record
 from quillstone.plans.catalogue import _MINOR, big, minor, query
 from quillstone.plans.catalogue_record import _CENTS, _amounts, _eur, invoice_pages
@@ -236,3 +236,32 @@ select event_id, case event_id % 6 when 0 then cast(event_id as varchar) when 1
 def typed_json(spark, table):
     """Identifiers of JSON texts, strings or whole numbers, with why one is refused."""
     return table("events").select("event_id", F.expr(_JSON.replace('\\"', '"')).alias("t")).select("event_id", settings.typed(F.col("t"), "$.a.id", "identifier").alias("r")).select("event_id", "r.*")
+
+
+@query("""
+select s_suppkey, case when s_suppkey % 3 = 2 then '' else 'B' || lpad(cast(s_suppkey as varchar), 7, '0') || (s_suppkey % 10) || ':ES_CIF' end || case when s_suppkey % 2 = 0 then case when s_suppkey % 3 = 2 then '' else '|' end || 'DE' || lpad(cast(s_suppkey as varchar), 9, '0') || ':DE_USTID' else '' end as ids,
+  case s_suppkey % 3 when 0 then 'F-100' || s_suppkey when 1 then '12345' || s_suppkey when 2 then 'ABC123' || s_suppkey end as number, case when s_suppkey % 4 = 0 then '4555xxxxxx1234' when s_suppkey % 4 = 1 then 'xxxx9876' end as card from supplier""")
+def scanned_facts(spark, table):
+    """Tax identifiers, document numbers and masked cards in running text, in each of their forms."""
+    k, s = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    own = F.when(k % 3 == 2, "nada").otherwise(F.concat(F.lit("NIF B-"), F.lpad(s, 7, "0"), F.lit(" "), (k % 10).cast("string")))
+    german = F.when(k % 2 == 0, F.concat(F.lit(" USt DE "), F.lpad(s, 9, "0"))).otherwise("")
+    number = F.when(k % 3 == 0, F.concat(F.lit("factura F-100"), s)).when(k % 3 == 1, F.concat(F.lit("Nº/fecha documento\n 12345"), s)).otherwise(F.concat(F.lit("Código de control: ABC123"), s))
+    card = F.when(k % 4 == 0, "4555 **** 1234").when(k % 4 == 1, "****9876").otherwise("")
+    rows = table("supplier").select("s_suppkey", F.concat_ws("\n", card, F.concat(own, german), number).alias("t"))
+    ids = F.array_join(F.transform(lenient.tax_ids(F.col("t")), lambda x: F.concat_ws(":", x["normalized"], x["kind"])), "|")
+    return rows.select("s_suppkey", ids.alias("ids"), lenient.document_number(F.col("t")).alias("number"), lenient.card_mask(F.col("t")).alias("card"))
+
+
+@query("""
+with n as (select distinct lower(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g')) as a, p_partkey % 3 as kind, p_name from part), t as (select * from (values ('total', 0, 'total due'), ('date', 1, 'order key'), ('name', 2, 'cust name')) t(core_field, kind, b)),
+p as (select p_name, core_field, a, b, case when length(a) >= length(b) then a else b end as lo, case when length(a) >= length(b) then b else a end as sh from n join t using (kind)),
+w as (select *, case when a = b then 1.0 when length(sh) / length(lo) >= 0.5 then (case when contains(lo, sh) then 0.9 else 1 - list_min([levenshtein(sh, substr(lo, k, length(sh))) for k in range(1, length(lo) - length(sh) + 2)]) / length(lo) end) else 1 - levenshtein(a, b) / length(lo) end as whole,
+  2 * len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' ')))) / (len(list_distinct(string_split(a, ' '))) + len(list_distinct(string_split(b, ' ')))) as shared from p)
+select p_name as name, core_field, round(cast(greatest(whole, shared) as double), 6) as score from w""")
+def typed_matches(spark, table):
+    """Core fields scored against columns of their own kind alone."""
+    core = spark.createDataFrame([(0, "total", 0, ["total due"]), (1, "date", 1, ["order key"]), (2, "name", 2, ["cust name"])], "kind bigint, core_field string, core_no int, synonyms array<string>")
+    columns = table("part").select((F.col("p_partkey") % 3).alias("kind"), F.col("p_name").alias("field_id"), F.lit(0).alias("field_no"), F.col("p_name").alias("name")).distinct()
+    found = records.typed_matches(core, columns)
+    return found.select(F.col("field_id").alias("name"), "core_field", F.round("score", 6).alias("score"))

@@ -26,8 +26,8 @@ def loose_amount(spark, table):
 
 
 @query(r"""
-with r as (select doc_id, regexp_extract_all(text, '\d{1,3}(?:[. ]\d{3})+(?:,\d{1,2})?|\d+(?:[.,]\d{1,2})?') as raws from documents),
-e as (select doc_id, unnest(raws) as raw, unnest(range(len(raws))) as nth from r), t as (select *, replace(raw, ' ', '') as s from e)
+with r as (select doc_id, regexp_extract_all(text, '\d{1,3}(?:[.\s]\d{3})+(?:,\d{1,2})?|\d+(?:[.,]\d{1,2})?') as raws from documents),
+e as (select doc_id, unnest(raws) as raw, unnest(range(len(raws))) as nth from r), t as (select *, regexp_replace(raw, '\s', '', 'g') as s from e)
 select doc_id, cast(nth as bigint) as nth, raw, case when abs(v) < 1e12 then round(v, 2) else v end as value from (select *, try_cast(case
   when contains(s, '.') and contains(s, ',') then replace(replace(s, '.', ''), ',', '.')
   when contains(s, ',') then (case when length(split_part(s, ',', -1)) = 3 and length(split_part(s, ',', 1)) <= 3 then replace(s, ',', '') else replace(s, ',', '.') end)

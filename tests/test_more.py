@@ -5,7 +5,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import label_normalised
-from quillstone.operators import adjudicate, einvoices, evaluation, lenient
+from quillstone.operators import adjudicate, einvoices, evaluation, lenient, records
 
 TEXTS = {
     "BASE 100,00\nIVA 21% 21,00\nTOTAL 121,00": (121.0, 100.0, 21.0, "confirmed"),
@@ -73,3 +73,21 @@ def test_probes(spark):
     found = spark.createDataFrame([(1, 100), (1, None), (2, 5), (4, 9)], "d int, cents int")
     totals = spark.createDataFrame([(1, 100), (2, 100), (3, 100), (4, None)], "d int, total int")
     assert {tuple(r) for r in evaluation.probe_outcomes(found, totals, "d", "cents", "total").collect()} == {(1, "yes", 2, 1), (2, "no", 1, 0), (3, "no label found", 0, 0), (4, "not probed", 0, 0)}
+
+
+def test_scans(spark):
+    rows = spark.createDataFrame([("B 1234567 4, DE123456789 X-12345678-B",), ("",), (None,)], "t string")
+    assert [[tuple(x)[:2] for x in r[0] or []] for r in rows.select(lenient.tax_ids(F.col("t"))).collect()] == [[("B12345674", "ES_CIF"), ("X12345678", None), ("DE123456789", "DE_USTID")], [], []]
+    cases = {"INVOICE AB-12": "AB-12", "nº/FECHA documento 12345678": "12345678", "código de control: XY99ZZ": "XY99ZZ", "recibo": None, "": None}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", lenient.document_number(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in got} == cases
+    masks = {"4555 XXXX 1234": "4555xxxxxx1234", "**** 9876": "xxxx9876", "1234": None}
+    got = spark.createDataFrame([(t,) for t in masks], "t string").select("t", lenient.card_mask(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in got} == masks
+
+
+def test_kinds_come_before_names(spark):
+    core = spark.createDataFrame([("number", "total", 0, ["Total"]), ("date", "day", 1, ["Fecha"])], "kind string, core_field string, core_no int, synonyms array<string>")
+    columns = spark.createDataFrame([("number", "f1", 0, "totalAmount"), ("string", "f2", 1, "Total"), ("date", "f3", 2, None)], "kind string, field_id string, field_no int, name string")
+    got = {(r["core_field"], r["field_id"]): r["score"] for r in records.typed_matches(core, columns).collect()}
+    assert set(got) == {("total", "f1"), ("day", "f3")} and got["total", "f1"] > 0.5 and got["day", "f3"] == 0.0
