@@ -18,6 +18,8 @@ rest are joined with their counts.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -115,41 +117,106 @@ class LogBilinear:
 
 
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad, a batch at a time; the noise words of a batch are shared by its tokens."""
+    """Noise-contrastive estimation by AdaGrad, a batch at a time; the noise words of a batch are shared by its tokens.
+
+    Only the rows of tokens that a batch meets have a gradient, and only they are read, summed and written. A row holds a
+    token's target vector, its bias less the log of its noise, and its context vector, so that tokens are sorted once for
+    all three. A noise word drawn several times is computed once and counts as often.
+    """
 
     def __init__(self, model: LogBilinear, seed: int):
         self.m, self.random = model, np.random.default_rng(seed)
         self.cdf = np.cumsum(model.noise, dtype=np.float64)
         self.lift = np.log(NOISE * model.noise)
-        self.sums = {n: np.full(getattr(model, n).shape, 1e-3, np.float32) for n in model.NAMES}
+        self.rows = np.concatenate((model.r, (model.bias - self.lift)[:, None], model.q), 1)
+        self.mix = np.concatenate((model.c2, model.c1))
+        self.row_sums, self.mix_sums = (np.full(x.shape, 1e-3, np.float32) for x in (self.rows, self.mix))
+        self.small = np.uint16 if len(model.bias) <= 1 << 16 else np.int64  # sorted by radix
+        self.end = np.array([END], self.small)
         self.seen = 0
 
-    def _spread(self, rows: np.ndarray, grad: np.ndarray) -> np.ndarray:
-        v, d = self.m.q.shape
-        at = (rows[:, None] * d + np.arange(d)).ravel()
-        return np.bincount(at, grad.ravel(), minlength=v * d).reshape(v, d).astype(np.float32)
-
-    def batch(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
-        m = self.m
-        z = np.minimum(np.searchsorted(self.cdf, self.random.random(NOISE) * self.cdf[-1]), len(self.cdf) - 1)
-        qa, qb, rw, rz = m.q[a], m.q[b], m.r[w], m.r[z]
-        h = qa @ m.c1 + qb @ m.c2
-        lift = self.lift
-        up = (1 / (1 + np.exp(-np.clip((h * rw).sum(1) + m.bias[w] - lift[w], -30, 30))) - 1).astype(np.float32)
-        down = (1 / (1 + np.exp(-np.clip(h @ rz.T + (m.bias[z] - lift[z]), -30, 30)))).astype(np.float32)
-        n = np.float32(1 / len(w))
-        dh = up[:, None] * rw + down @ rz
-        grad = {
-            "r": self._spread(np.concatenate((w, z)), np.concatenate((up[:, None] * h, down.T @ h))),
-            "q": self._spread(np.concatenate((a, b)), np.concatenate((dh @ m.c1.T, dh @ m.c2.T))),
-            "c1": qa.T @ dh, "c2": qb.T @ dh,
-            "bias": (np.bincount(w, up, minlength=len(m.bias)) + np.bincount(z, down.sum(0), minlength=len(m.bias))).astype(np.float32),
-        }
-        for name, g in grad.items():
-            g = g * n
-            self.sums[name] += g * g
-            getattr(m, name).__isub__(np.float32(RATE) * g / np.sqrt(self.sums[name]))
-        self.seen += len(w)
+    def learn(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Trains on whole texts, as :func:`numbered` gives them."""
+        n = -(-len(ids) // BATCH)
+        noise = np.minimum(np.searchsorted(self.cdf, self.random.random((n, NOISE)) * self.cdf[-1]), len(self.cdf) - 1).astype(self.small)
+        noise.sort(1)
+        new = np.ones(noise.shape, bool)
+        np.not_equal(noise[:, 1:], noise[:, :-1], out=new[:, 1:])
+        drawn = np.r_[0, np.cumsum(new.sum(1))]
+        times = np.diff(np.flatnonzero(new), append=noise.size).astype(np.float32)
+        noise = noise[new]
+        run = np.r_[END, END, ids].astype(self.small)
+        # a text's end is the token before the next text, so of the contexts only the second of a first word is not the run's
+        starts = ends[:-1] + 1
+        split = np.searchsorted(starts, np.arange(n + 1) * BATCH)
+        with np.errstate(over="ignore"):  # exp of much is infinite, its sigmoid 0
+            for k in range(n):
+                z = slice(drawn[k], drawn[k + 1])
+                self._batch(run[k * BATCH : (k + 1) * BATCH + 2], starts[split[k] : split[k + 1]] - k * BATCH, noise[z], times[z])
+        self.seen += len(ids)
+
+    def _batch(self, run: np.ndarray, starts: np.ndarray, noise: np.ndarray, times: np.ndarray) -> None:
+        """Trains on ``run`` but its first two tokens, of which first words have the places ``starts``; ``times``: of each noise word."""
+        d, n = len(self.mix) // 2, len(run) - 2
+        rows = np.concatenate((run, noise, self.end))  # the last one takes what first words give to their second context
+        have = self.rows.take(rows, 0)
+        q = np.empty((n, 2 * d), np.float32)
+        q[:, :d], q[:, d:] = have[:n, d + 1 :], have[1 : n + 1, d + 1 :]
+        q[starts, :d] = have[-1, d + 1 :]
+        h = np.ones((n, d + 1), np.float32)
+        np.matmul(q, self.mix, out=h[:, :d])
+        rw, rz = have[2 : n + 2, : d + 1], have[n + 2 : -1, : d + 1]
+        up = -1 / (1 + np.exp(np.einsum("ij,ij->i", h, rw)))
+        down = h @ -rz.T
+        np.exp(down, out=down)
+        down += 1
+        np.divide(times, down, out=down)
+        dh = down @ rz[:, :d]
+        dh += up[:, None] * rw[:, :d]
+        dq = dh @ self.mix.T
+        grad = np.zeros_like(have)
+        np.multiply(up[:, None], h, out=grad[2 : n + 2, : d + 1])
+        np.matmul(down.T, h, out=grad[n + 2 : -1, : d + 1])
+        grad[1 : n + 1, d + 1 :] = dq[:, d:]
+        grad[-1, d + 1 :] = dq[starts, :d].sum(0)
+        dq[starts, :d] = 0
+        grad[:n, d + 1 :] += dq[:, :d]
+        at, grad = sums_by(rows, grad)
+        total = self.row_sums.take(at, 0)
+        step = self._step(total, grad, n)
+        self.row_sums[at] = total
+        self.rows[at] = self.rows.take(at, 0) - step
+        self.mix -= self._step(self.mix_sums, q.T @ dh, n)
+
+    def _step(self, sums: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
+        """AdaGrad's step by the gradient of ``n`` tokens; adds its squares to ``sums``."""
+        grad *= np.float32(1 / n)
+        sums += grad * grad
+        grad *= np.float32(RATE)
+        grad /= np.sqrt(sums)
+        return grad
+
+    def learnt(self) -> LogBilinear:
+        """The model with what was learnt."""
+        d = len(self.mix) // 2
+        self.m.r, self.m.bias, self.m.q = self.rows[:, :d], self.rows[:, d] + self.lift, self.rows[:, d + 1 :]
+        self.m.c2, self.m.c1 = self.mix[:d], self.mix[d:]
+        return self.m
+
+
+def sums_by(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct value of ``rows``, and the sum of ``grad`` over it; values that occur once are copied."""
+    order = rows.argsort(kind="stable")
+    x = rows[order]
+    new = np.ones(len(x) + 1, bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:-1])
+    alone = new[:-1] & new[1:]
+    once, more = grad.take(order[alone], 0), order[~alone]
+    if not len(more):
+        return x, once
+    first = new[:-1] & ~alone
+    many = np.add.reduceat(grad.take(more, 0), np.flatnonzero(first[~alone]), axis=0)
+    return np.concatenate((x[alone], x[first])), np.concatenate((once, many))
 
 
 def contexts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +243,9 @@ class Scorer:
         self.log_z = np.log(total) + top1 + top2.T
 
     def log10(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return ((self.s1[one, w] + self.s2[two, w] + self.bias[w] - self.log_z[one, two]) / np.float32(np.log(10))).astype(np.float64)
+        v = len(self.bias)  # places in flat tables are read faster than rows and columns
+        score = self.s1.ravel().take(one * v + w) + self.s2.ravel().take(two * v + w) + self.bias[w] - self.log_z.ravel().take(one * v + two)
+        return (score / np.float32(np.log(10))).astype(np.float64)
 
 
 def train_model(docs: DataFrame, index: dict[bytes, int], share: np.ndarray, rounds: int = ROUNDS) -> LogBilinear:
@@ -209,12 +278,9 @@ def one_round(held, nth: int):
         for b in slices(batches, 1024):
             ids, ends = numbered(texts(b.column(0)), index)
             if len(ids):
-                one, two = contexts(ids, ends)
-                for at in range(0, len(ids), BATCH):
-                    part = slice(at, at + BATCH)
-                    trainer.batch(one[part], two[part], ids[part])
+                trainer.learn(ids, ends)
         if trainer.seen:
-            yield pa.RecordBatch.from_arrays([pa.array([trainer.seen], pa.int64()), pa.array([trainer.m.flat()], pa.list_(pa.float32()))], ["seen", "params"])
+            yield pa.RecordBatch.from_arrays([pa.array([trainer.seen], pa.int64()), pa.array([trainer.learnt().flat()], pa.list_(pa.float32()))], ["seen", "params"])
 
     return fit
 
@@ -231,6 +297,19 @@ def numbered(data: list[bytes], index: dict[bytes, int]) -> tuple[np.ndarray, np
     return np.array(ids, np.int64), np.array(ends, np.int64)
 
 
+def by_size(data: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The same texts in runs of at most ``most`` bytes; a longer text is a run of its own."""
+    run, size = [], 0
+    for t in data:
+        if run and size + len(t) > most:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
 def score_documents(docs: DataFrame, training: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD_WORDS) -> DataFrame:
     """All columns of ``docs`` but text, with n_tokens, n_known, train_tokens, base_score, score (log10) of the whole text.
 
@@ -261,24 +340,39 @@ def score_documents(docs: DataFrame, training: DataFrame, vocabulary: int = VOCA
 
         model, words, n, frequent = held.value
         scorer = model.scorer()
+        rare, end = len(words), len(words) + 1  # places of a word that is not broadcast, and of a text's end
         place = {w: k for k, w in enumerate(words)}
-        log_c = np.r_[np.log10(n + 0.5), 0.0]
+        log_c = np.r_[np.log10(n + 0.5), 0.0, 0.0]
+        number = np.r_[np.arange(2, frequent + 2), np.full(rare - frequent + 1, OTHER), END]
+        # what log10(c + 0.5) adds to the model for words it has under OTHER
+        under = np.where(number == OTHER, log_c - outside, 0.0)
         nth = TaskContext.get().partitionId() << 40
 
         def step(b):
             nonlocal nth
             out = {c: [] for c in (f"_lm_{c}" for c in ("row", "tokens", "known", "head", "model", "rare", "word", "times"))}
-            for t in texts(b.column("text")):
-                w = tokens(t)
-                at = np.fromiter((place.get(x, -1) for x in w), np.int64, len(w))
-                ids = np.r_[np.where((at >= 0) & (at < frequent), at + 2, OTHER), END]
-                one, two = contexts(ids, np.array([len(w)]))
-                nth += 1
-                rare = Counter(x for x, k in zip(w, at.tolist(), strict=True) if k < 0)
-                # what log10(c + 0.5) adds to the base, and to the model for words it has under OTHER
-                values = (nth, len(w) + 1, int((at >= 0).sum()), float(log_c[at].sum()), float(scorer.log10(one, two, ids).sum() + log_c[at[at >= frequent]].sum() - outside * (ids == OTHER).sum()), sum(rare.values()), list(rare), list(rare.values()))
-                for c, v in zip(out, values, strict=True):
-                    out[c].append(v)
+            for some in by_size(texts(b.column("text"))):
+                flat, at, ends = [], [], []
+                for t in some:
+                    w = tokens(t)
+                    flat += [*w, b""]
+                    at.extend(map(place.get, w, repeat(rare)))
+                    at.append(end)
+                    ends.append(len(at) - 1)
+                at, ends = np.array(at, np.int64), np.array(ends, np.int64)
+                ids, starts = number[at], np.r_[0, ends[:-1] + 1]
+                values = scorer.log10(*contexts(ids, ends), ids) + under[at]
+                unknown = np.flatnonzero(at == rare)
+                split = np.searchsorted(unknown, np.r_[starts, len(at)])
+                unknown = unknown.tolist()
+                met = [Counter(flat[k] for k in unknown[i:j]) for i, j in pairwise(split.tolist())]
+                found = (
+                    range(nth + 1, nth + 1 + len(some)), ends - starts + 1, np.add.reduceat((at < rare).astype(np.int64), starts),
+                    np.add.reduceat(log_c[at], starts), np.add.reduceat(values, starts), np.diff(split), map(list, met), (list(c.values()) for c in met),
+                )
+                nth += len(some)
+                for c, v in zip(out, found, strict=True):
+                    out[c].extend(v.tolist() if isinstance(v, np.ndarray) else v)
             return out | {c: b.column(c) for c in names}
 
         return step

@@ -2,9 +2,12 @@
 
 import math
 import random
+import time
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +156,81 @@ def test_nothing_to_learn_from(spark):
     got = {r["doc_id"]: r for r in lm_scoring.score_documents(df, df.limit(0)).collect()}
     assert got[1]["train_tokens"] == 0 and got[1]["base_score"] == 0.0 and got[1]["n_known"] == 0
     assert lm_scoring.score_documents(df.limit(0), df).collect() == []
+
+
+def trained(monkeypatch, share, data):
+    """What a task gives that trains on these texts of words that are numbers from 2 on."""
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    index = {str(k).encode(): k for k in range(2, len(share))}
+    flat = lm_scoring.LogBilinear(share).flat()
+    held = SimpleNamespace(value=(index, share, flat))
+    before = time.process_time()
+    got = list(lm_scoring.one_round(held, 0)([pa.RecordBatch.from_arrays([pa.array(data)], ["text"])]))
+    took = time.process_time() - before
+    return took, got[0].column(0)[0].as_py(), np.array(got[0].column(1)[0].as_py(), np.float32)
+
+
+def plainly(share, data):
+    """The same by gradients of all parameters, token by token as they come, with all noise words apart."""
+    m = lm_scoring.LogBilinear(share)
+    par = [x.astype(np.float64) for x in (m.q, m.r, m.c1, m.c2, m.bias)]
+    q, r, c1, c2, bias = par
+    sums = [np.full(x.shape, 1e-3) for x in par]
+    draw, cdf, lift = np.random.default_rng(lm_scoring.SEED), np.cumsum(m.noise, dtype=np.float64), np.log(lm_scoring.NOISE * m.noise)
+    tokens = []
+    for t in data:
+        w = [0, 0, *(int(x) if x.isdigit() else 1 for x in (t or "").split()), 0]
+        tokens += [(w[k - 1], w[k - 2], w[k]) for k in range(2, len(w))]
+    for at in range(0, len(tokens), lm_scoring.BATCH):
+        a, b, w = np.array(tokens[at : at + lm_scoring.BATCH]).T
+        z = np.minimum(np.searchsorted(cdf, draw.random(lm_scoring.NOISE) * cdf[-1]), len(cdf) - 1)
+        h = q[a] @ c1 + q[b] @ c2
+        up = 1 / (1 + np.exp(-((h * r[w]).sum(1) + bias[w] - lift[w]))) - 1
+        down = 1 / (1 + np.exp(-(h @ r[z].T + bias[z] - lift[z])))
+        dh = up[:, None] * r[w] + down @ r[z]
+        grad = [np.zeros_like(x) for x in par]
+        np.add.at(grad[0], a, dh @ c1.T)
+        np.add.at(grad[0], b, dh @ c2.T)
+        np.add.at(grad[1], w, up[:, None] * h)
+        np.add.at(grad[1], z, down.T @ h)
+        grad[2] += q[a].T @ dh
+        grad[3] += q[b].T @ dh
+        np.add.at(grad[4], w, up)
+        np.add.at(grad[4], z, down.sum(0))
+        for x, s, g in zip(par, sums, grad, strict=True):
+            s += (g / len(w)) ** 2
+            x -= lm_scoring.RATE * g / len(w) / np.sqrt(s)
+    return len(tokens), np.concatenate([x.ravel() for x in par])
+
+
+@pytest.mark.parametrize("data", [
+    [None],
+    ["", "7", None, "2 2 2", "nowhere 5"],
+    [" ".join(str(3 + (k * j) % 90) for k in range(j * 7 % 800)) for j in range(60)],
+    [f"{k % 97 + 2}" for k in range(700)],
+])
+def test_training_equals_plain_gradients(monkeypatch, data):
+    share = 1 / np.arange(1.0, 101)
+    share[1] = 2.0  # most noise words are drawn several times
+    share /= share.sum()
+    _, seen, got = trained(monkeypatch, share, data)
+    n, want = plainly(share, data)
+    assert seen == n and np.allclose(got, want, rtol=1e-3, atol=1e-4)
+
+
+def test_training_time_does_not_follow_the_vocabulary(monkeypatch):
+    text = " ".join(str(2 + k * 7 % 400) for k in range(40 * lm_scoring.BATCH))
+
+    def each(v):
+        share = np.r_[np.full(400, 1.0), np.full(v - 400, 1e-9)]
+        share /= share.sum()
+        return min(trained(monkeypatch, share, [text])[0] for _ in range(3)) - min(trained(monkeypatch, share, ["2"])[0] for _ in range(3))
+
+    assert each(40_000) < 4 * each(500)
+
+
+def test_runs_of_texts_by_size():
+    data = [b"a" * n for n in (3, 3, 20, 0, 4, 6, 1)]
+    got = list(lm_scoring.by_size(data, 10))
+    assert [[len(t) for t in run] for run in got] == [[3, 3], [20], [0, 4, 6], [1]]
+    assert list(lm_scoring.by_size([])) == []
