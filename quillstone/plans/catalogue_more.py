@@ -150,7 +150,7 @@ def remote_round_trip(spark, table):
     fields = {"Number": "string", "Name": "string", "Balance": "number"}
     (base / "tables.json").write_text(json.dumps([{"name": "suppliers", "fields": [{"name": n, "type": t} for n, t in fields.items()]}]), encoding="utf-8")
     spark.dataSource.register(RemoteTable)
-    rows = table("supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("decimal(18,2)").alias("s_acctbal"), "s_nationkey")
+    rows = table.spread("supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("decimal(18,2)").alias("s_acctbal"), "s_nationkey")
     sent = rows.write.format("remote_table").mode("append").options(table="suppliers", key="s_suppkey", fields=json.dumps({"s_suppkey": "Number", "s_name": "Name", "s_acctbal": "Balance"}))
     for run in ("first", "second"):
         sent.option("report", f"{base}/reports/{run}").save(str(base))

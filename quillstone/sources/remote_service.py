@@ -41,13 +41,17 @@ class Folder:
 
     def __init__(self, base: str):
         self.base = Path(urllib.parse.urlparse(base).path if base.startswith("file:") else base)
+        self._listed: dict[str, list[str]] = {}
 
     def tables(self) -> list[dict]:
         return json.loads((self.base / "tables.json").read_text(encoding="utf-8"))
 
     def page(self, table: str, n: int) -> list[dict]:
-        ids = sorted(p.stem for p in (self.base / table / "records").glob("*.json"))
-        return [self.record(table, i) for i in ids[n * PER_PAGE : (n + 1) * PER_PAGE]]
+        """The pages of one reader are cut from one listing, that of its first page: a listing a page is quadratic."""
+        if table not in self._listed:
+            where = self.base / table / "records"
+            self._listed[table] = sorted(f.removesuffix(".json") for f in os.listdir(where) if f.endswith(".json") and not f.startswith(".")) if where.is_dir() else []
+        return [self.record(table, i) for i in self._listed[table][n * PER_PAGE : (n + 1) * PER_PAGE]]
 
     def record(self, table: str, key: str) -> dict | None:
         file = self.base / table / "records" / f"{hashlib.sha256(key.encode()).hexdigest() if not _is_id(key) else key}.json"
@@ -57,6 +61,8 @@ class Folder:
         """A record of a key is there once: whoever comes second finds it."""
         name = hashlib.sha256(key.encode()).hexdigest()
         where = self.base / table / "records"
+        if (where / f"{name}.json").exists():
+            return name
         where.mkdir(parents=True, exist_ok=True)
         part = where / f".{name}.{uuid.uuid4().hex}"
         part.write_text(json.dumps({"id": name, "fields": fields}, ensure_ascii=False), encoding="utf-8")

@@ -1,9 +1,12 @@
 """Queries against their SQL on keys and shapes that the small tables don't have."""
 
+import os
+
 import duckdb
 
 import __spark_entry__  # noqa: F401  fills the catalogue
 from quillstone.plans import catalogue
+from quillstone.sources.remote_service import PER_PAGE, Folder
 
 
 def against_sql(spark, name, where, **tables):
@@ -24,3 +27,16 @@ def against_sql(spark, name, where, **tables):
 def test_a_documents_number_is_no_tax_identifier(spark, tmp_path):
     found = against_sql(spark, "scanned_facts", tmp_path, supplier=spark.createDataFrame([(k,) for k in (0, 9, 9999, 10014, 10017, 59997, 123456)], "s_suppkey bigint"))
     assert any(ids == "B00100144:ES_CIF|DE000010014:DE_USTID" and number == "F-10010014" for _, ids, number, _ in found)
+
+
+def test_the_pages_of_a_folder_are_cut_from_one_listing(tmp_path, monkeypatch):
+    made = Folder(str(tmp_path))
+    ids = sorted(made.create("t", str(k), {"n": k}) for k in range(2 * PER_PAGE + 5))
+    assert made.create("t", "7", {"n": -1}) in ids
+    listings = []
+    for name in ("scandir", "listdir"):
+        monkeypatch.setattr(os, name, lambda *a, f=getattr(os, name): listings.append(a) or f(*a))
+    service = Folder(str(tmp_path))
+    pages = [service.page("t", n) for n in range(4)]
+    assert [len(p) for p in pages] == [PER_PAGE, PER_PAGE, 5, 0] and [r["id"] for p in pages for r in p] == ids and len(listings) == 1
+    assert sorted(r["fields"]["n"] for p in pages for r in p) == list(range(2 * PER_PAGE + 5)) and Folder(str(tmp_path)).page("other", 0) == []
