@@ -1,11 +1,13 @@
 """Queries against their SQL on keys and shapes that the small tables don't have."""
 
 import os
+import random
 
 import duckdb
 
 import __spark_entry__  # noqa: F401  fills the catalogue
-from quillstone.plans import catalogue
+from quillstone.operators import layout
+from quillstone.plans import catalogue, extract
 from quillstone.sources.remote_service import PER_PAGE, Folder
 
 
@@ -40,3 +42,44 @@ def test_the_pages_of_a_folder_are_cut_from_one_listing(tmp_path, monkeypatch):
     pages = [service.page("t", n) for n in range(4)]
     assert [len(p) for p in pages] == [PER_PAGE, PER_PAGE, 5, 0] and [r["id"] for p in pages for r in p] == ids and len(listings) == 1
     assert sorted(r["fields"]["n"] for p in pages for r in p) == list(range(2 * PER_PAGE + 5)) and Folder(str(tmp_path)).page("other", 0) == []
+
+
+WORDS = "doc_id string, pass_id string, page_index int, word_no int, text string, x0 int, x1 int, top int, bottom int"
+
+
+def test_lines_of_words_that_lie_alike(spark):
+    r, rows = random.Random(4), []
+    for page in range(40):
+        for k in range(page):
+            top, x0 = r.randrange(6) * 4, r.randrange(3)
+            rows.append(("d", "p", page, r.randrange(3), r.choice(["a", "é", "z", "A"]), x0, x0 + r.randrange(2), top, top + r.randrange(8)))
+    want = {}
+    for page in range(40):
+        line, low, high = -1, 0, 0
+        for w in sorted((w for w in rows if w[2] == page), key=lambda w: (w[7], w[5], w[6], w[8], w[4].encode(), w[3])):
+            if line >= 0 and 2 * (min(high, w[8]) - max(low, w[7])) >= min(high - low, w[8] - w[7]):
+                low, high = min(low, w[7]), max(high, w[8])
+            else:
+                line, low, high = line + 1, w[7], w[8]
+            want.setdefault((page, line), []).append((w[5], w[3], w[4], w[6], w[7], w[8]))
+    found = layout.lines(spark.createDataFrame(rows, WORDS).repartition(3)).collect()
+    assert len(found) == len(want)
+    for x in found:
+        words = sorted(want[x["page_index"], x["line_no"]], key=lambda w: (w[0], w[1], w[2].encode(), *w[3:]))
+        assert [tuple(w) for w in x["words"]] == words and x["text"] == " ".join(w[2] for w in words)
+        assert (x["x0"], x["x1"], x["top"], x["bottom"]) == (min(w[0] for w in words), max(w[3] for w in words), min(w[4] for w in words), max(w[5] for w in words))
+
+
+def test_lines_with_nulls(spark):
+    rows = [("d", "p", 0, 0, "a", 0, 5, 0, 10), ("d", "p", 0, 1, None, 9, 12, 1, 9), ("d", "p", 0, 2, "b", None, 7, 2, 10), ("d", "p", 0, 3, "c", 1, 2, None, 3), ("d", "p", 0, 4, "e", 1, 2, 40, None)]
+    got = {r["line_no"]: (r["text"], r["x0"], r["top"], r["bottom"]) for r in layout.lines(spark.createDataFrame(rows, WORDS)).collect()}
+    assert sum(len(t.split()) for t, *_ in got.values()) == 4 and ("b a", 0, 0, 10) in got.values()
+
+
+def test_a_plan_of_amounts_is_small(spark):
+    """Lines are made once, so the last plan reads them: the driver held all of it at once."""
+    words = spark.createDataFrame([("d", "p", 0, 0, "TOTAL", 0, 9, 0, 10), ("d", "p", 0, 1, "5,00", 10, 19, 0, 10)], WORDS)
+    found = extract.extract(words, spark.createDataFrame([("total", "es", "TOTAL", None)], "kind string, language string, term string, hint string"))
+    assert found.select("doc_id", "gross").collect()[0]["gross"] == 500
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("LogicalRDD") <= 3
