@@ -1,6 +1,7 @@
 """From positioned words to one record per document: the text route, and votes over passes for recognised documents.
 
-One lazy plan; its exchanges are on the document and its pages, and a page is the largest thing that is ever one row.
+Lines, boxes of labels, figures and operands are written in the shared folder and read back, as several steps read each. The
+exchanges are on the document and its pages, and a page is the largest thing that is ever one row.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import amounts, dates, dims
 from quillstone.operators import binding, confidence, consensus, layout, negative, records, solver, terms
+from quillstone.sources.shared import stored
 
 PAGE = ["doc_id", "pass_id", "page_index"]
 _ROLE = {"total": "gross", "base": "base", "tax": "tax"}
@@ -55,16 +57,17 @@ def read_operands(words: DataFrame, term_rows: DataFrame, country: str = "ES", r
     coordinates alone count.
     """
     row = dims.COUNTRIES[country]
-    lines = layout.lines(words, PAGE)
+    lines = stored(layout.lines(words, PAGE))
     each = line_words(lines)
     found = terms.find_terms(lines, term_rows, [*PAGE, "line_no"])
-    boxes = matched_boxes(each, found)
+    boxes = stored(matched_boxes(each, found))
     figures = amount_words(each, F.lit(row["decimal"]), F.lit(dims.CURRENCY_DIGITS[row["currency"]]))
     labels = boxes.filter(F.col("kind").isin(*_ROLE))
     named = figures.withColumn("value", F.struct("value", "x0", "x1", "top", "bottom", F.col("line_no").alias("at_line")))
     bound = binding.bind_labels(labels, named, lines, PAGE, "label_id")
     role = F.create_map(*[F.lit(x) for kv in _ROLE.items() for x in kv])[F.split_part("label_id", F.lit("|"), F.lit(1))]
     operands = bound.select(*PAGE, role.alias("role"), F.col("value.value").alias("minor"), "value.at_line", "value.x0", "value.x1", "value.top", "value.bottom").distinct()
+    operands = stored(operands)
     bad = boxes.filter("kind = 'negative'").select(*PAGE, F.col("line_no").alias("at_line"), "x0", "x1", "top", "bottom")
     clear = operands.join(bad.select(*PAGE, "at_line").distinct(), [*PAGE, "at_line"], "left_anti")
     beside = operands.join(bad.select(*PAGE, "at_line").distinct(), [*PAGE, "at_line"], "left_semi")
