@@ -6,7 +6,7 @@ import random
 import duckdb
 
 import __spark_entry__  # noqa: F401  fills the catalogue
-from quillstone.operators import layout
+from quillstone.operators import einvoices, layout
 from quillstone.plans import catalogue, extract
 from quillstone.sources.remote_service import PER_PAGE, Folder
 
@@ -83,3 +83,16 @@ def test_a_plan_of_amounts_is_small(spark):
     assert found.select("doc_id", "gross").collect()[0]["gross"] == 500
     plan = found._jdf.queryExecution().analyzed().toString()
     assert plan.count("LogicalRDD") <= 3
+
+
+def test_an_einvoice_is_parsed_once(spark):
+    ubl = f'<!-- <Order> --><u:Invoice xmlns:u="{einvoices.UBL}Invoice-2"><ID> <![CDATA[7]]>&amp;<b>8</b> </ID><ID>9</ID>%s<TaxTotal><TaxAmount>3</TaxAmount></TaxTotal></u:Invoice>'
+    line = "<TaxTotal><TaxSubtotal><TaxableAmount>%s</TaxableAmount><TaxAmount>1</TaxAmount>%s</TaxSubtotal></TaxTotal>"
+    rate = "<TaxCategory><Percent>2<!-- -->1</Percent></TaxCategory>"
+    rows = [(1, ubl % (line % (10, rate) + line % (20, ""))), (2, ubl % "" + "<more/>"), (3, "<Invoice><ID>1</ID></Wrong>"), (4, "  "), (5, ubl.replace("Invoice-2", "Order-2").replace(einvoices.UBL, "urn:else:") % "")]
+    found = einvoices.read(spark.createDataFrame(rows, "k int, x string"), "k", "x")
+    got = {r["k"]: r for r in found.collect()}
+    assert got[1]["shape"] == "Invoice" and got[1]["doc_number"]["value"] == "7&8" and got[1]["tax_total"]["value"] == "3" and got[1]["net_total"]["state"] == "not_in_xml"
+    assert [tuple(x) for x in got[1]["tax_lines"]] == [("2", "10", "1"), ("1", "20", "1")]
+    assert all(got[k]["shape"] is None and got[k]["doc_number"] is None and got[k]["tax_lines"] is None for k in (2, 3, 4, 5))
+    assert "xpath" not in found._jdf.queryExecution().analyzed().toString()
