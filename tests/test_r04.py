@@ -4,9 +4,10 @@ import os
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  fills the catalogue
-from quillstone.operators import einvoices, layout
+from quillstone.operators import einvoices, layout, negative
 from quillstone.plans import catalogue, extract
 from quillstone.sources.remote_service import PER_PAGE, Folder
 
@@ -96,3 +97,21 @@ def test_an_einvoice_is_parsed_once(spark):
     assert [tuple(x) for x in got[1]["tax_lines"]] == [("2", "10", "1"), ("1", "20", "1")]
     assert all(got[k]["shape"] is None and got[k]["doc_number"] is None and got[k]["tax_lines"] is None for k in (2, 3, 4, 5))
     assert "xpath" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_words_box_lies_in_few_cells(spark):
+    wide, high = (F.size(negative._cells(F.lit(a - 4000), F.lit(b + 4000), 4000)) for a, b in ((9000, 16000), (14000, 25000)))
+    assert spark.range(1).select(wide * high).first()[0] <= 6  # it was 25
+    r = random.Random(7)
+    box = lambda: (x := r.randrange(-60_000, 60_000), x + r.randrange(20_000), y := r.randrange(-60_000, 60_000), y + r.randrange(20_000))
+    a, b = ([(k % 3, *box()) for k in range(n)] for n in (150, 40))
+    gap = lambda p, q, k: max(max(p[k], q[k]) - min(p[k + 1], q[k + 1]), 0)
+    want = sorted((*p, any(q[0] == p[0] and gap(p, q, 1) ** 2 + gap(p, q, 3) ** 2 <= 4000**2 for q in b)) for p in a)
+    kind = "doc_id int, x0 int, x1 int, top int, bottom int"
+    assert sorted(map(tuple, negative.flag_context(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), ["doc_id"], 4000).collect())) == want
+
+
+def test_adjudicated_cents_are_those_of_the_sql(spark, tmp_path):
+    rows = [(51155, 84343.5), (129299, 156499.5), (7931, 169115.5), (3, 100.0), (8, 121.45), (1, 77.77)]
+    orders = spark.createDataFrame(rows, "o_orderkey bigint, o_totalprice double").withColumn("o_orderdate", F.timestamp_seconds(F.lit(800_000_000)))
+    assert (51155, 102055.63) in [x[:2] for x in against_sql(spark, "adjudication", tmp_path, orders=orders)]
