@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions.once import once
 from quillstone.operators.lenient import AMOUNT, last_mark_amount
 
 # Words after which a number is an identifier, and words of lines that hold nothing but metadata.
@@ -30,7 +31,8 @@ _METHODS = ("gross", "gross_method", "net", "net_method", "tax", "tax_method", "
 
 
 def _cents(x: Column) -> Column:
-    return F.round(x, 2)
+    """Two decimals of the float itself, as the prototype's and the SQL's: 17712.135 is a little less than that, and rounds down."""
+    return F.signum(x) * F.floor(F.abs(x) * 100 + 0.5) / 100
 
 
 def line_figures(line: Column) -> Column:
@@ -38,10 +40,15 @@ def line_figures(line: Column) -> Column:
 
     Figures are marked in the text, so that each is seen with what stands before and after it.
     """
-    pieces = F.split(F.regexp_replace(line, f"({_FIGURE})", f"{_OPEN}$1{_SHUT}"), _OPEN, -1)
+    # a line without digits has no figure
+    return F.when(line.rlike(r"\d"), once(F.split(F.regexp_replace(line, f"({_FIGURE})", f"{_OPEN}$1{_SHUT}"), _OPEN, -1), _figures_of)).when(line.isNotNull(), F.array().cast("array<double>"))
 
+
+def _figures_of(pieces: Column) -> Column:
     def one(piece, k):
-        raw, rest = F.substring_index(piece, _SHUT, 1), F.substring_index(piece, _SHUT, -1)
+        return once(F.struct(F.substring_index(piece, _SHUT, 1).alias("raw"), F.substring_index(piece, _SHUT, -1).alias("rest")), lambda x: figure(x["raw"], x["rest"], k))
+
+    def figure(raw, rest, k):
         # what stands before is the end of the piece before, its own figure included
         before = F.replace(F.get(pieces, k - 1), F.lit(_SHUT), F.lit(""))
         grouped = raw.rlike(r"^\d{1,3}(?:[.\s]\d{3})+")
@@ -55,7 +62,11 @@ def line_figures(line: Column) -> Column:
 
 def role(line: Column) -> Column:
     """``gross``, ``net``, ``tax`` or null by a line's words."""
-    up, out = F.upper(line), None
+    return once(F.upper(line), _role_of)
+
+
+def _role_of(up: Column) -> Column:
+    out = None
     for name, words in ROLES:
         said = up.rlike(rf"\b({'|'.join(words)})\b" if name != "gross" else rf"\b({'|'.join(w for w in words if w != 'GESAMT')})\b|\bGESAMT")
         out = F.when(said, name) if out is None else out.when(said, name)
@@ -71,11 +82,16 @@ def line_roles(text: Column) -> Column:
     numbered, metadata = rf"(?i)\b({'|'.join(NUMBERED)})\s*[:.]?\s*\d", rf"(?i)\b({'|'.join(METADATA)})\b"
 
     def one(line, k):
-        said = role(line)
+        return once(F.struct(role(line).alias("said"), line.rlike(r"\d\s*%").alias("rate"), last(line_figures(line)).alias("plain")), lambda x: known_of(line, k, x))
+
+    def known_of(line, k, x):
+        said, rate = x["said"], x["rate"]
         known = F.when(~line.rlike(numbered) & ~line.rlike(metadata), said)
-        rate = line.rlike(r"\d\s*%")
-        value = last(line_figures(F.when(rate, F.regexp_replace(line, r"\d+[.,]?\d*\s*%", "")).otherwise(line)))
-        return F.struct(k.alias("line"), F.when(known.isNotNull() & rate & value.isNull(), "rate").otherwise(known).alias("role"), F.when(known.isNotNull(), value).alias("value"), last(line_figures(line)).alias("plain"), (line.rlike(r"^\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}") | (line == "")).alias("passed"), said.alias("own"))
+        value = F.when(rate, last(line_figures(F.regexp_replace(line, r"\d+[.,]?\d*\s*%", "")))).otherwise(x["plain"])
+        return once(F.struct(known.alias("known"), F.when(said.isNotNull(), value).alias("value")), lambda y: settled(line, k, x, y["known"], y["value"]))
+
+    def settled(line, k, x, known, value):
+        return F.struct(k.alias("line"), F.when(known.isNotNull() & x["rate"] & value.isNull(), "rate").otherwise(known).alias("role"), F.when(known.isNotNull(), value).alias("value"), x["plain"].alias("plain"), (line.rlike(r"^\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}") | (line == "")).alias("passed"), x["said"].alias("own"))
 
     return F.transform(F.transform(F.split(text, r"\r\n|\r|\n", -1), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), one)
 
